@@ -3,14 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusmill.llm import suffix_dedup
+from corpusmill.llm import decontam, lsh_forest, merkle, ss_packing, suffix_dedup
 from corpusmill.llm.frames import load
 
 
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file; it lies in the same place on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", "text")
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(load(spark, sf_dir, "documents").select("doc_id", "text"), length=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.dedup(_documents(spark, sf_dir), length=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(_documents(spark, sf_dir), size=4, percent=80)
+
+
+def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_next(_documents(spark, sf_dir))
+
+
+def op8_ss_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ss_packing.pack(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=2, capacity=4096).drop("ids")
+
+
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(_documents(spark, sf_dir), load(spark, sf_dir, "benchmark").select("item_id", "text"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
+QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op4_lsh_forest": op4_lsh_forest,
+    "op5_merkle": op5_merkle,
+    "op8_ss_packing": op8_ss_packing,
+    "op9_decontam": op9_decontam,
+}
 ORACLE_SQL: dict[str, str] = {}
