@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A list of keys is broadcast up to so many rows of 8 bytes; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: An order is cut into no more parts than these; larger parts stream through a sort that can spill.
+MOST_BUCKETS = 20_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +41,8 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
+    gc.collect()
+    spark._jvm.System.gc()  # lets Spark delete the shuffle files of the plan that has been written
     return out
 
 
@@ -57,6 +62,16 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"").cast("binary"))
 
 
+def order_bucket(src: DataFrame, parts: int, pos: str = "pos") -> Column:
+    """The number of (approximate) quantiles not above a numeric column, found by binary search."""
+    cuts = sorted(set(src.select(F.col(pos).cast("double").alias("p")).approxQuantile("p", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    if not cuts:
+        return F.lit(0)
+    where = "array(" + ",".join(f"{x!r}D" for x in cuts) + ")"
+    steps = f"sequence({len(cuts).bit_length() - 1}, 0, -1)"
+    return F.expr(f"aggregate({steps}, 0, (a, k) -> if(a + shiftleft(1, k) <= {len(cuts)} and get({where}, a + shiftleft(1, k) - 1) <= cast({pos} as double), a + shiftleft(1, k), a))")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import frames, vectext
@@ -36,8 +36,6 @@ from corpusmill.llm.vectext import U64, mix
 
 SPREAD = 6
 _WORD = vectext.NOT_SPACE & (np.arange(256) > 0)
-#: The order is cut into no more parts than these; larger parts stream through a sort that can spill.
-MOST_BUCKETS = 20_000
 
 
 def _fold(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -201,8 +199,8 @@ def compare_with_next(docs: DataFrame, rows_per_bucket: int = 4000) -> DataFrame
     n = src.count()
     if not n:
         return spark.createDataFrame([], _schema(kind))
-    parts = max(1, min(n // rows_per_bucket, MOST_BUCKETS))
-    rows = src.withColumn("bucket", _bucket(src, parts))
+    parts = max(1, min(n // rows_per_bucket, frames.MOST_BUCKETS))
+    rows = src.withColumn("bucket", frames.order_bucket(src, parts))
     heads = rows.groupBy("bucket").agg(F.min("pos").alias("pos")).orderBy("bucket").collect()
     leads = ",".join(f'{{"pos":"{heads[(i + 1) % len(heads)].pos}","to":{h.bucket}}}' for i, h in enumerate(heads))
     leads = spark.range(1).select(F.inline(F.from_json(F.lit(f"[{leads}]"), "array<struct<pos:string,to:int>>"))).select(F.col("pos").cast("decimal(20,0)").alias("pos"), "to")
@@ -212,15 +210,5 @@ def compare_with_next(docs: DataFrame, rows_per_bucket: int = 4000) -> DataFrame
     return dealt.select("bucket", "halo", "doc_id", "bytes").mapInArrow(_rows(kind), _schema(kind))
 
 
-def _bucket(src: DataFrame, parts: int) -> Column:
-    """The number of quantiles not above pos, found by binary search."""
-    cuts = sorted(set(src.select(F.col("pos").cast("double").alias("p")).approxQuantile("p", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    if not cuts:
-        return F.lit(0)
-    where = "array(" + ",".join(f"{x!r}D" for x in cuts) + ")"
-    steps = f"sequence({len(cuts).bit_length() - 1}, 0, -1)"
-    return F.expr(f"aggregate({steps}, 0, (a, k) -> if(a + shiftleft(1, k) <= {len(cuts)} and get({where}, a + shiftleft(1, k) - 1) <= cast(pos as double), a + shiftleft(1, k), a))")
-
-
 def _schema(kind: str) -> str:
     return f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

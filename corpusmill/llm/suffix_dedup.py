@@ -10,7 +10,11 @@ as one row.  The passes:
 1. by anchor (one row for each anchor and segment of text).  If all windows
    around an anchor are the same everywhere, the group is decided here: all but
    its earliest member repeat.
-2. by whole window, for the anchors whose surroundings differ somewhere.
+2. by anchor and surroundings, for the anchors whose surroundings differ
+   somewhere: again all but the earliest of a class repeat.
+3. by whole window, for the windows around what is left of these classes.  A
+   class sends its bytes once, to where its anchor's windows are set out and
+   ordered; anchors with many classes send each window by its own hash instead.
 
 A segment sends one row for each digit at most, as later members of a group
 repeat an earlier one whatever other segments hold.  Hence no group is larger
@@ -38,7 +42,9 @@ from corpusmill.llm.vectext import U64, mix, signed
 ANCHOR = 32
 BLOCK = 1 << 18
 #: Bytes of text that a task holds the anchors of.
-SEGMENT = 48 << 20
+SEGMENT = 24 << 20
+#: An anchor with more classes than these has its windows dealt out one by one.
+MANY = 128
 #: So many anchors with differing surroundings are sent to all tasks; beyond, they are joined.
 BROADCAST_KEYS = 8_000_000
 _POS, _NO_ID = 28, (1 << 63) - 1
@@ -46,13 +52,13 @@ _ROW = "key long, sc long, doc long, place long"
 
 
 def _anchored(block: vectext.Block, length: int):
-    """Of each anchor: k-gram hash, hash of all its windows, and the first and last start in the buffer; also the window hashes."""
+    """Of each anchor: k-gram hash, hash of all its windows, and the first and last start in the buffer."""
     buf = block.buf
     w = length - ANCHOR + 1
     none = np.zeros(0, dtype=np.int64)
     ok = block.end - block.start >= length
     if not ok.any():
-        return none.view(U64), none.view(U64), none, none, none.view(U64)
+        return none.view(U64), none.view(U64), none, none
     gram, whole = vectext.rolling(buf, (ANCHOR, length), 11)
     key = (gram >> U64(_POS)) << U64(_POS) | np.arange(len(gram), dtype=U64)
     n = -(-len(key) // w) * w
@@ -71,7 +77,7 @@ def _anchored(block: vectext.Block, length: int):
     hi = valid[np.concatenate((new[1:], [len(valid)])) - 1]
     anchor = a[new]
     sc = mix(whole[lo] * U64(0x9E3779B97F4A7C15) + whole[hi] * U64(0xC2B2AE3D27D4EB4F) + (hi - lo).astype(U64) * U64(131) + (anchor - lo).astype(U64))
-    return gram[anchor], sc, lo, hi, whole
+    return gram[anchor], sc, lo, hi
 
 
 def _tag(text: bytes) -> int:
@@ -90,98 +96,180 @@ def _runs(doc, tag, lo, hi):
 
 
 def _segments(batches: Iterator[pa.RecordBatch], length: int, want):
-    """Arrays of a segment: kg, sc, doc, tag, lo, hi, and (for want) the hashes of each window with its doc, tag and start."""
-    held, size = [], 0
+    """Arrays of a segment: kg, sc, doc, tag, lo, hi, and what finds the bytes: the blocks, each anchor's block and start in it.
+
+    want: keeps the anchors of these hashes; True: of those in the row's kgs; None: all.
+    """
+    held, parts, size = [], [], 0
     for batch in batches:
         ids = batch.column("doc").to_numpy(zero_copy_only=False)
-        kgs = batch.column("kgs").to_pylist() if "kgs" in batch.schema.names else None
+        kgs = batch.column("kgs").to_pylist() if want is True else None
         for block in vectext.blocks(batch.column("bytes"), limit=BLOCK):
-            kg, sc, lo, hi, whole = _anchored(block, length)
+            kg, sc, lo, hi = _anchored(block, length)
             size += len(block.buf)
             if len(kg):
                 row = np.searchsorted(block.start, lo, side="right") - 1
-                own = ids[block.first + row]
-                tags = np.zeros(len(block), dtype=np.int64)
-                for r in np.unique(row):
-                    tags[r] = _tag(block.buf[block.start[r] : block.end[r]].tobytes())
-                base = block.start[row]
-                if want is None and kgs is None:
-                    held.append((kg, sc, own, tags[row], lo - base, hi - base))
-                else:
-                    if kgs is None:
-                        at = np.minimum(np.searchsorted(want, kg), max(0, len(want) - 1))
-                        got = want[at] == kg if len(want) else np.zeros(len(kg), dtype=bool)
-                    else:
-                        got = np.zeros(len(kg), dtype=bool)
-                        for r in np.unique(row):
-                            mine = row == r
-                            got[mine] = np.isin(signed(kg[mine]), kgs[block.first + r] or [])
-                    if got.any():
-                        n = hi[got] - lo[got] + 1
-                        starts = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[got], n)
-                        again = vectext.rolling(block.buf, (length,), 12)[0]
-                        start = starts - np.repeat(base[got], n)
-                        held.append((whole[starts], again[starts], np.repeat(own[got], n), np.repeat(tags[row][got], n), start, start))
+                got = np.ones(len(kg), dtype=bool)
+                if want is True:
+                    for r in np.unique(row):
+                        got[row == r] = np.isin(signed(kg[row == r]), kgs[block.first + r])
+                elif want is not None:
+                    got = want[np.minimum(np.searchsorted(want, kg), len(want) - 1)] == kg if len(want) else ~got
+                if got.any():
+                    kg, sc, lo, hi, row = (x[got] for x in (kg, sc, lo, hi, row))
+                    tags = np.zeros(len(block), dtype=np.int64)
+                    for r in np.unique(row):
+                        tags[r] = _tag(block.buf[block.start[r] : block.end[r]].tobytes())
+                    base = block.start[row]
+                    held.append((kg, sc, ids[block.first + row], tags[row], lo - base, hi - base, np.full(len(kg), len(parts)), lo))
+                    parts.append(block.buf if want is not None else None)
             if size >= SEGMENT:
                 if held:
-                    yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                held, size = [], 0
+                    yield [np.concatenate(x) for x in zip(*held, strict=True)], parts
+                held, parts, size = [], [], 0
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        yield [np.concatenate(x) for x in zip(*held, strict=True)], parts
+
 
+def _emit(key, sc, doc, place, more=None) -> Iterator[pa.RecordBatch]:
+    """more: gives the bytes column for a slice."""
+    for i in range(0, len(key), 1 << 14):
+        j = slice(i, i + (1 << 14))
+        cols = [pa.array(np.ascontiguousarray(x[j])) for x in (signed(key), signed(sc), doc, place)]
+        if more:
+            cols.append(more(j))
+        yield pa.RecordBatch.from_arrays(cols, ["key", "sc", "doc", "place", "ctx"][: len(cols)])
 
-def _emit(key, sc, doc, place) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(key), 1 << 16):
-        j = slice(i, i + (1 << 16))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[j])) for x in (signed(key), signed(sc), doc, place)], ["key", "sc", "doc", "place"])
+
+def _ordered(kg, sc, doc, lo):
+    """Order by digit, class, document and place; where classes and digits begin; which members are later than the first of their class."""
+    o = np.lexsort((lo, doc, sc, kg))
+    kg, sc, doc, lo = kg[o], sc[o], doc[o], lo[o]
+    new_kg = np.concatenate(([True], kg[1:] != kg[:-1]))
+    new = new_kg | np.concatenate(([True], sc[1:] != sc[:-1]))
+    first = np.flatnonzero(new)
+    of = np.repeat(first, np.diff(np.concatenate((first, [len(kg)]))))
+    return o, new_kg, new, (doc != doc[of]) | (lo != lo[of])
 
 
-def _pass(length: int, want, by_window: bool):
+def _run_rows(doc, tag, lo, hi, ctx: bool = False):
+    d, t, a, b = _runs(doc, tag, lo, hi)
+    return _emit(mix(d.view(U64)), (b << 16 | t).view(U64), d, -2 - a, (lambda j: pa.nulls(len(d[j]), pa.binary())) if ctx else None)
+
+
+def _by_anchor(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kg, sc, doc, tag, lo, hi in _segments(batches, length, want if by_window else None):
-            o = np.lexsort((lo, doc, sc, kg))
+        for (kg, sc, doc, tag, lo, hi, _, _), _ in _segments(batches, length, None):
+            o, new_kg, new, later = _ordered(kg, sc, doc, lo)
             kg, sc, doc, tag, lo, hi = (x[o] for x in (kg, sc, doc, tag, lo, hi))
-            new_kg = np.concatenate(([True], kg[1:] != kg[:-1]))
-            new = new_kg | np.concatenate(([True], sc[1:] != sc[:-1]))
-            first = np.flatnonzero(new)
-            of = np.repeat(first, np.diff(np.concatenate((first, [len(kg)]))))
-            later = (doc != doc[of]) | (lo != lo[of])
-            place = ((lo << 7) | (hi - lo + 1)) << 16 | tag
-            if by_window:
-                yield from _emit(kg[first], sc[first], doc[first], place[first])
-            else:  # a digit whose windows differ within the segment is only named
-                many = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_kg)) > 1
-                at = np.flatnonzero(new_kg)
-                p = np.where(many, -1, place[at])
-                yield from _emit(kg[at], sc[at], doc[at], p)
-            d, t, a, b = _runs(doc[later], tag[later], lo[later], hi[later])
-            yield from _emit(mix(d.view(U64)), (b << 16 | t).view(U64), d, -2 - a)
+            at = np.flatnonzero(new_kg)
+            many = np.add.reduceat(new.astype(np.int64), at) > 1  # a digit whose windows differ within the segment is only named
+            yield from _emit(kg[at], sc[at], doc[at], np.where(many, -1, _place(lo, hi, tag)[at]))
+            yield from _run_rows(doc[later], tag[later], lo[later], hi[later])
 
     return run
 
 
-def _decided(rows: DataFrame, by_window: bool) -> DataFrame:
-    """(kg, doc, tag, lo, hi): start ranges that repeat; kg is set, and doc null, for anchors that need the next pass."""
-    w = Window.partitionBy("key", "sc") if by_window else Window.partitionBy("key")
+def _place(lo, hi, tag):
+    return ((lo << 7) | (hi - lo + 1)) << 16 | tag
+
+
+def _by_class(length: int, want):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (kg, sc, doc, tag, lo, hi, part, start), parts in _segments(batches, length, want if want is True else want.value):
+            o, _, new, later = _ordered(kg, sc, doc, lo)
+            kg, sc, doc, tag, lo, hi, part, start = (x[o] for x in (kg, sc, doc, tag, lo, hi, part, start))
+            f = np.flatnonzero(new)
+            p, a, z = part[f], start[f], start[f] + hi[f] - lo[f] + length
+            yield from _emit(kg[f], sc[f], doc[f], _place(lo, hi, tag)[f], lambda j, p=p, a=a, z=z, parts=parts: pa.array([parts[i][x:y].tobytes() for i, x, y in zip(p[j], a[j], z[j], strict=True)], pa.binary()))
+            yield from _run_rows(doc[later], tag[later], lo[later], hi[later], True)
+
+    return run
+
+
+def _set_out(batches: list[pa.RecordBatch], length: int):
+    """Every window of the rows' bytes: two hashes, doc, tag and start."""
+    ctx = [x for b in batches for x in b.column("ctx").to_pylist()]
+    doc, tag, lo = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in batches]) for c in ("doc", "tag", "lo"))
+    block = vectext.Block(ctx, 0)
+    n = block.end - block.start - length + 1
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at = step + np.repeat(block.start, n)
+    one, two = (vectext.rolling(block.buf, (length,), seed)[0][at] for seed in (11, 12))
+    return one, two, np.repeat(doc, n), np.repeat(tag, n).astype(np.int64), step + np.repeat(lo, n)
+
+
+def _group_windows(length: int):
+    """Rows in order of kg: the window starts that repeat an earlier one of the same anchor."""
+
+    def found(held):
+        one, two, doc, tag, at = _set_out(held, length)
+        o, _, _, later = _ordered(one, two, doc, at)
+        d, t, a, b = _runs(doc[o][later], tag[o][later], at[o][later], at[o][later])
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t.astype(np.int32)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["doc", "tag", "lo", "hi"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kg = batch.column("kg").to_numpy()
+            change = np.flatnonzero(kg[1:] != kg[:-1]) + 1
+            last = held[-1].column("kg")[-1].as_py() if held else None
+            cuts = [*([0] if last is not None and last != kg[0] else []), *change.tolist()]
+            i = 0
+            for c in cuts:
+                if n + c - i >= 8192 or c == 0 and n >= 8192:
+                    if c > i:
+                        held.append(batch.slice(i, c - i))
+                    yield found(held)
+                    held, n, i = [], 0, c
+            if i < batch.num_rows:
+                held.append(batch.slice(i))
+                n += batch.num_rows - i
+        if held:
+            yield found(held)
+
+    return run
+
+
+def _each_window(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one, two, doc, tag, at = _set_out([batch], length)
+                o, _, new, later = _ordered(one, two, doc, at)
+                one, two, doc, tag, at = (x[o] for x in (one, two, doc, tag, at))
+                yield from _emit(one[new], two[new], doc[new], _place(at, at, tag)[new])
+                yield from _run_rows(doc[later], tag[later], at[later], at[later])
+
+    return run
+
+
+def _decided(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Start ranges (doc, tag, lo, hi) that repeat; besides rows with ask: members that the next pass needs."""
+    w = Window.partitionBy(*by)
     whole = w.orderBy("doc", "place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     own = F.col("place") >= 0
-    if not by_window:
+    many = F.lit(False)
+    if by == ["key"]:
         real = F.when(F.col("place") >= -1, F.col("sc"))
-        rows = rows.withColumn("many", (F.min(real).over(whole) != F.max(real).over(whole)) | (F.min(F.when(F.col("place") >= -1, F.col("place"))).over(whole) == -1))
-    else:
-        rows = rows.withColumn("many", F.lit(False))
-    first = F.when(own, F.struct("doc", F.shiftright("place", 16).alias("p")))
-    rows = rows.withColumn("lead", F.min(first).over(whole)).withColumn("nth", F.row_number().over(w.orderBy("doc", "place")))
+        many = (F.min(real).over(whole) != F.max(real).over(whole)) | (F.min(F.when(F.col("place") >= -1, F.col("place"))).over(whole) == -1)
+    rows = rows.withColumn("many", many).withColumn("lead", F.min(F.when(own, F.struct("doc", F.shiftright("place", 16).alias("p")))).over(whole)).withColumn("nth", F.row_number().over(w.orderBy("doc", "place")))
     run = F.col("place") <= -2
     repeat = own & ~F.col("many") & ((F.col("doc") != F.col("lead.doc")) | (F.shiftright("place", 16) != F.col("lead.p")))
-    lo = F.when(run, -2 - F.col("place")).otherwise(F.shiftright("place", 23))
     ask = ~run & F.col("many") & (F.col("nth") == 1)
+    if "ctx" in rows.columns:
+        ask = own & (F.col("nth") == 1)
+    lo = F.when(run, -2 - F.col("place")).otherwise(F.shiftright("place", 23))
     return rows.where(run | repeat | ask).select(
-        F.when(ask, F.col("key")).alias("kg"),
-        F.when(~ask, F.col("doc")).alias("doc"),
+        ask.alias("ask"),
+        F.col("key").alias("kg"),
+        "doc",
         F.when(run, F.col("sc").bitwiseAND(0xFFFF)).otherwise(F.col("place").bitwiseAND(0xFFFF)).cast("int").alias("tag"),
         lo.cast("int").alias("lo"),
         F.when(run, F.shiftright("sc", 16)).otherwise(lo + F.shiftright("place", 16).bitwiseAND(127) - 1).cast("int").alias("hi"),
+        *([F.when(ask, F.col("ctx")).alias("ctx")] if "ctx" in rows.columns else []),
     )
 
 
@@ -217,23 +305,28 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     spark = docs.sparkSession
     frames.arrow_batches(spark)
     src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), frames.text_bytes().alias("bytes")).where(F.length("bytes") >= length)
-    one = frames.cut(_decided(src.mapInArrow(_pass(length, None, False), _ROW), False))
-    asked = one.where("kg is not null").select("kg")
+    one = frames.cut(_decided(src.mapInArrow(_by_anchor(length), _ROW), ["key"]))
+    asked = one.where("ask").select("kg")
     n = asked.count()
     if n <= BROADCAST_KEYS:
-        want = np.sort(np.array([x for b in asked.toLocalIterator() for x in b] if n < 10_000 else asked.toPandas()["kg"].to_numpy(), dtype=np.int64).view(U64)) if n else np.zeros(0, dtype=U64)
-        held = spark.sparkContext.broadcast(want)
-        two = src.mapInArrow(lambda it: _pass(length, held.value, True)(it), _ROW)
+        held = spark.sparkContext.broadcast(np.sort(asked.toPandas()["kg"].to_numpy(dtype=np.int64).view(U64)))
+        two = src.mapInArrow(_by_class(length, held), _ROW + ", ctx binary")
     else:
 
         def named(batches):
-            for kg, _, doc, _, _, _ in _segments(batches, length, None):
-                for b in _emit(kg, kg, doc, doc):
+            for x, _ in _segments(batches, length, None):
+                for b in _emit(x[0], x[0], x[2], x[2]):
                     yield b.select(["key", "doc"])
 
         marks = src.mapInArrow(named, "key long, doc long").join(asked.withColumnRenamed("kg", "key"), "key", "left_semi").groupBy("doc").agg(F.collect_set("key").alias("kgs"))
-        two = src.join(marks, "doc").mapInArrow(_pass(length, None, True), _ROW)
-    both = one.where("kg is null").select("doc", "tag", "lo", "hi").unionByName(_decided(two, True).select("doc", "tag", "lo", "hi"))
+        two = src.join(marks, "doc").mapInArrow(_by_class(length, True), _ROW + ", ctx binary")
+    two = frames.cut(_decided(two, ["key", "sc"]))
+    classes = two.where("ask").select("kg", "doc", "tag", "lo", "ctx")
+    sizes = frames.cut(classes.groupBy("kg").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    few = classes.join(sizes.where(F.col("n") <= MANY), "kg", "left_semi").repartition("kg").sortWithinPartitions("kg").mapInArrow(_group_windows(length), "doc long, tag int, lo int, hi int")
+    most = sizes.where(F.col("n") > MANY).select("kg")
+    most = _decided(frames.keep_keys(classes, most, ["kg"], most.count()).mapInArrow(_each_window(length), _ROW), ["key", "sc"]).select("doc", "tag", "lo", "hi")
+    both = one.where("not ask").select("doc", "tag", "lo", "hi").unionByName(two.where("not ask").select("doc", "tag", "lo", "hi")).unionByName(few).unionByName(most)
     return both.groupBy("doc").agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("spans"))
 
 
