@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontam, lsh_forest, merkle, ss_packing, suffix_dedup
+from corpusmill.llm import decontam, lsh_forest, merkle, rans, ring, ss_packing, suffix_dedup
 from corpusmill.llm.frames import load
 
 
@@ -32,6 +32,10 @@ def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_next(_documents(spark, sf_dir))
 
 
+def op6_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring.shard(_documents(spark, sf_dir), shards=40)
+
+
 def op8_ss_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ss_packing.pack(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=2, capacity=4096).drop("ids")
 
@@ -41,11 +45,19 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = rans.new_path(spark)
+    rans.write_ids(_documents(spark, sf_dir), path, tokenizer_file("byte_bpe_50k.json"), end_id=0)
+    return rans.read_ids(spark, path).drop("ids")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op4_lsh_forest": op4_lsh_forest,
     "op5_merkle": op5_merkle,
+    "op6_ring": op6_ring,
     "op8_ss_packing": op8_ss_packing,
     "op9_decontam": op9_decontam,
+    "op10_rans": op10_rans,
 }
 ORACLE_SQL: dict[str, str] = {}
