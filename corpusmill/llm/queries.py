@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontam, lsh_forest, merkle, rans, ring, ss_packing, suffix_dedup
+from corpusmill.llm import decontam, lsh_forest, merkle, pst, rans, ring, ss_packing, suffix_dedup
 from corpusmill.llm.frames import load
 
 
@@ -24,6 +24,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_documents(spark, sf_dir), length=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_pst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.score(_documents(spark, sf_dir))
+
+
 def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(_documents(spark, sf_dir), size=4, percent=80)
 
@@ -53,6 +57,7 @@ def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op3_pst": op3_pst,
     "op4_lsh_forest": op4_lsh_forest,
     "op5_merkle": op5_merkle,
     "op6_ring": op6_ring,
