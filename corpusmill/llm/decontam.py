@@ -145,10 +145,10 @@ def _wanted(spark, keys: DataFrame):
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
-    """For each row: rid (names the row), doc_id, n_words, n_hit, items (sorted ids of items with occurring windows)."""
+    """For each row: rid (names the row), doc_id, text_hash, n_words, n_hit, items (sorted ids of items with occurring windows)."""
     spark = docs.sparkSession
     frames.arrow_batches(spark)
-    src = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", frames.text_bytes().alias("bytes"))
+    src = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("text_hash"), frames.text_bytes().alias("bytes"))
     asked = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), frames.text_bytes().alias("bytes"))
     wins = frames.cut(asked.mapInArrow(_windows(window, shingle), "item string, words string, n int, shingles array<long>").distinct())
 
@@ -163,7 +163,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     filt = _wanted(spark, prefix.select("sh").distinct())
     kind = docs.schema["doc_id"].dataType.simpleString()
     sizes = sorted(r[0] for r in prefix.select(F.least("n", F.lit(shingle))).distinct().collect())
-    rows = frames.cut(src.mapInArrow(_candidates(sizes, filt, window, shingle, ["rid", "doc_id"]), f"rid long, doc_id {kind}, n_words long, places array<struct<sh:long,pos:int,left:int,near:string>>"))
+    rows = frames.cut(src.mapInArrow(_candidates(sizes, filt, window, shingle, ["rid", "doc_id", "text_hash"]), f"rid long, doc_id {kind}, text_hash long, n_words long, places array<struct<sh:long,pos:int,left:int,near:string>>"))
 
     at = rows.where(F.size("places") > 0).select("rid", F.explode("places").alias("p")).select("rid", "p.*")
     at = at.join(F.broadcast(prefix) if n <= frames.BROADCAST_ROWS // 8 else prefix, "sh")
@@ -174,13 +174,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     hits = hits.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
     done = F.aggregate("spans", F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n")), lambda s, x: F.struct(F.greatest(s["to"], x["hi"]).alias("to"), (s["n"] + F.greatest(F.lit(0), x["hi"] - F.greatest(s["to"], x["lo"]))).alias("n")))
     hits = hits.select("rid", done["n"].alias("n_hit"), "items", "spans")
-    return rows.select("rid", "doc_id", "n_words").join(hits, "rid", "left").select("rid", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
+    return rows.select("rid", "doc_id", "text_hash", "n_words").join(hits, "rid", "left").select("rid", "doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
-    """The documents without any benchmark window; all columns stay."""
-    docs = frames.cut(docs)
-    src = docs.withColumn("_rid", F.monotonically_increasing_id())
-    bad = frames.cut(contamination(docs, items, window, shingle).where("n_hit > 0").select(F.col("rid").alias("_rid")))
+    """The documents without any benchmark window; all columns stay. Rows are named by doc_id and a hash of the text."""
+    bad = frames.cut(contamination(docs, items, window, shingle).where("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct())
     n = bad.count()
-    return src.join(F.broadcast(bad) if n <= frames.BROADCAST_ROWS else bad, "_rid", "left_anti").drop("_rid")
+    named = docs.withColumn("_t", F.xxhash64("text"))
+    return named.join(F.broadcast(bad) if n <= frames.BROADCAST_ROWS else bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left_anti").drop("_t")

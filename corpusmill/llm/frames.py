@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +23,20 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package, wherever they start: Spark's file server hands them a copy."""
+    sc, package = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if getattr(sc, "_has_corpusmill", False) or not package.is_dir():
+        return
+    d = tempfile.mkdtemp(prefix=f"{package.name}-")  # the driver serves the file from here as long as it runs
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(os.path.join(d, package.name), "zip", package.parent, package.name))
+    sc._has_corpusmill = True
+
+
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Rows of an Arrow batch: texts can be long, and a worker holds a batch at a time."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

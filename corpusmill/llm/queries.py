@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontam, lsh_forest, merkle, pst, rans, ring, ss_packing, suffix_dedup
+from corpusmill.llm import decontam, lsh_forest, merkle, pii, pst, quality, rans, ring, ss_packing, suffix_dedup
 from corpusmill.llm.frames import load
 
 
@@ -24,6 +24,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_documents(spark, sf_dir), length=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_documents(spark, sf_dir))
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(said("base"), 256).alias("base_sha256"), said("spans").alias("spans"))
+
+
 def op3_pst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst.score(_documents(spark, sf_dir))
 
@@ -40,6 +47,11 @@ def op6_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard(_documents(spark, sf_dir), shards=40)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality.judge(docs, load(spark, sf_dir, "labels")).drop("text_hash")
+
+
 def op8_ss_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ss_packing.pack(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=2, capacity=4096).drop("ids")
 
@@ -57,10 +69,12 @@ def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_pii": op2_pii,
     "op3_pst": op3_pst,
     "op4_lsh_forest": op4_lsh_forest,
     "op5_merkle": op5_merkle,
     "op6_ring": op6_ring,
+    "op7_quality": op7_quality,
     "op8_ss_packing": op8_ss_packing,
     "op9_decontam": op9_decontam,
     "op10_rans": op10_rans,

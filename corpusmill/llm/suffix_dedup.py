@@ -44,7 +44,7 @@ BLOCK = 1 << 18
 #: Bytes of text that a task holds the anchors of.
 SEGMENT = 24 << 20
 #: An anchor with more classes than these has its windows dealt out one by one.
-MANY = 128
+MANY = 8192
 #: So many anchors with differing surroundings are sent to all tasks; beyond, they are joined.
 BROADCAST_KEYS = 8_000_000
 _POS, _NO_ID = 28, (1 << 63) - 1
