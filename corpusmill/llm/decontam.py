@@ -179,7 +179,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
     """The documents without any benchmark window; all columns stay. Rows are named by doc_id and a hash of the text."""
-    bad = frames.cut(contamination(docs, items, window, shingle).where("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct())
+    bad = frames.cut(contamination(docs, items, window, shingle).where("n_hit > 0").select(F.col("doc_id").alias("__corpusmill_id"), F.col("text_hash").alias("__corpusmill_of")).distinct())
     n = bad.count()
-    named = docs.withColumn("_t", F.xxhash64("text"))
-    return named.join(F.broadcast(bad) if n <= frames.BROADCAST_ROWS else bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left_anti").drop("_t")
+    named = docs.withColumn("__corpusmill_hash", F.xxhash64("text"))
+    return named.join(F.broadcast(bad) if n <= frames.BROADCAST_ROWS else bad, F.col("doc_id").eqNullSafe(F.col("__corpusmill_id")) & (F.col("__corpusmill_hash") == F.col("__corpusmill_of")), "left_anti").drop("__corpusmill_hash")

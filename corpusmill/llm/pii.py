@@ -231,7 +231,7 @@ def redact(docs: DataFrame) -> DataFrame:
     patterns = accepted(_counts(candidates(docs)))
     keep = [c for c in docs.columns if c != "text"]
     was = F.col("_text")
-    packed = docs.select(F.struct(*keep).alias("_row"), F.col("text").alias("_text"), "text") if keep else docs.select(F.struct(F.lit(1).alias("_none")).alias("_row"), F.col("text").alias("_text"), "text")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col("text").alias("_text"), "text") if keep else docs.select(F.struct(F.lit(1).alias("_none")).alias("_row"), F.col("text").alias("_text"), "text")
     rows = candidates(packed, "_row", "_text").withColumn("spans", F.sort_array(_taken(patterns)))
 
     def step(a: Column, x: Column) -> Column:
