@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,12 @@ def release(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fetch(df: DataFrame) -> dict[str, np.ndarray]:
+    """Columns of a table of bounded size as arrays on the driver, without a row object for each row."""
+    table = df.toArrow()
+    return {c: table.column(c).to_numpy() for c in table.column_names}
+
+
 def keep_keys(df: DataFrame, keys: DataFrame, on: list[str], n_keys: int) -> DataFrame:
     """Left-semi join that broadcasts the keys if they are few; otherwise it shuffles."""
     return df.join(F.broadcast(keys) if n_keys <= BROADCAST_ROWS else keys, on, "left_semi")
