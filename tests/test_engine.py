@@ -56,7 +56,7 @@ def test_engine(spark):
     docs = spark.createDataFrame([(1, "graph neural networks", 2020, "a"), (2, "graphs of molecules", 2021, "b"), (3, "cooking", None, "a")], "id long, text string, year int, source string")
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 1.0])], "id long, embedding array<double>")
     edges = spark.createDataFrame([("e1", 1, 2), ("e2", 3, 2)], "edge_id string, source long, target long")
-    features = spark.createDataFrame([(1, 0.5, True), (2, 0.9, False), (3, 1.0, None)], "id long, radar double, has_code boolean")
+    features = spark.createDataFrame([(1, 0.5, True), (2, 0.9, False), (3, 1.0, None)], "id long, impact double, has_code boolean")
     e = Engine(spark, docs, vectors, edges, features)
     assert [r.id for r in e.search("graph networks").collect()] == [1, 2, 3]
     assert [r.id for r in e.search("graph", year_from=2021).collect()] == [2]
@@ -64,8 +64,8 @@ def test_engine(spark):
     assert [r.id for r in e.search("", mode="dense", vector=[0.0, 1.0], limit=2).collect()] == [3, 2]
     assert [r.id for r in e.similar(1).collect()] == [2, 3]
     assert [r.id for r in e.list("year").collect()] == [2, 1, 3]
-    assert [r.id for r in e.rank({"weights": {"radar": 1.0}, "limit": 2}).collect()] == [3, 2]
-    assert [r.id for r in e.rank({"weights": {"radar": 1.0}, "filters": {"has_code": False}}).collect()] == [3, 2]
+    assert [r.id for r in e.rank({"weights": {"impact": 1.0}, "limit": 2}).collect()] == [3, 2]
+    assert [r.id for r in e.rank({"weights": {"impact": 1.0}, "filters": {"has_code": False}}).collect()] == [3, 2]
     assert (e.references(1).count(), e.citations(2).count()) == (1, 2)
     assert [r.id for r in e.compare([3, 1]).collect()] == [3, 1]
     with pytest.raises(ValueError):
