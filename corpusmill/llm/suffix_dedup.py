@@ -309,7 +309,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     asked = one.where("ask").select("kg")
     n = asked.count()
     if n <= BROADCAST_KEYS:
-        held = spark.sparkContext.broadcast(np.sort(asked.toPandas()["kg"].to_numpy(dtype=np.int64).view(U64)))
+        held = spark.sparkContext.broadcast(np.sort(frames.fetch(asked)["kg"].astype(np.int64).view(U64)))
         two = src.mapInArrow(_by_class(length, held), _ROW + ", ctx binary")
     else:
 
