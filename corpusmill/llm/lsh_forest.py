@@ -13,7 +13,11 @@ Candidates are confirmed on their full sets, strongest first; those that
 confirmed links already connect need no test.  Then hub rounds follow: in each
 region that still spans several components, the class with the most links is
 paired with every member outside its own component, until a round finds
-nothing new.  The result therefore doesn't depend on a bound on region sizes.
+nothing new.  What regions still span several components then is compared
+exactly: two sets that reach the similarity share one of the few rarest
+shingles of each, so all pairs of different components that share such a
+shingle are confirmed.  The result therefore doesn't depend on a bound on region
+sizes.
 
 At a similarity of 0.8 with 24 trees of root depth 4, a lone pair shares no
 region with a chance of 0.0000033.
@@ -37,7 +41,7 @@ from corpusmill.llm.vectext import U64, mix, signed
 
 #: Members that are held against one anchor in a group of the confirming step.
 GROUP = 64
-#: In a region of more classes than these only the next neighbour is a candidate; hubs find the rest.
+#: In a region of more classes than these only the next neighbour is a candidate at first; hubs and rare shingles find the rest.
 CROWD = 16
 _ID = "__corpusmill_id"  # beside the columns of the input
 
@@ -120,6 +124,38 @@ def _confirm(size: int, percent: int):
     return run
 
 
+def _shingles(size: int):
+    """(node, t, c, n, h): a row for each shingle h of a text t."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in vectext.blocks(batch.column("bytes")):
+                sets = shingle_sets(block, size)
+                counts = np.array([len(x) for x in sets], dtype=np.int64)
+                at = pa.array(np.repeat(np.arange(len(sets)), counts))
+                keep = [batch.column(c).slice(block.first, len(sets)).take(at) for c in ("node", "t", "c")]
+                h = np.concatenate(sets) if sets else np.zeros(0, dtype=U64)
+                yield pa.RecordBatch.from_arrays([*keep, pa.array(np.repeat(counts, counts)), pa.array(signed(h))], ["node", "t", "c", "n", "h"])
+
+    return run
+
+
+def _alike(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components c that can reach the similarity: they share one of each other's rarest shingles."""
+    rows = texts.join(rest, "node").withColumn("t", F.xxhash64("bytes")).select("node", "t", "c", "bytes")
+    rows = frames.cut(rows.mapInArrow(_shingles(size), "node long, t long, c long, n long, h long"))
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    w = Window.partitionBy("node", "t").orderBy("df", "h")  # one order of shingles for all texts
+    rank = rows.join(often, "h", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("rank", F.row_number().over(w))
+    rare = frames.cut(rank.where(f"df > 1 and rank <= n - (n * {percent} + 99) div 100 + 1").select("h", "node", "c", "n"))
+    main = rare.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "c")).alias("x"), F.count(F.lit(1)).alias("cs")).where("cs > 1").select("h", F.col("x.c").alias("main"))
+    rare = rare.join(main, "h")
+    x = rare.where("c <> main").select("h", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))  # a large component is never joined with itself
+    y = rare.select("h", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), (F.col("c") == F.col("main")).alias("largest"))
+    pairs = x.join(y, "h").where(f"cx <> cy and (largest or x < y) and least(nx, ny) * 100 >= {percent} * greatest(nx, ny)")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity. An anchor's partners are dealt out in groups."""
     n = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("n"))
@@ -170,9 +206,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
         if ask.isEmpty():
             break
         new = frames.cut(confirmed(ask.select(F.col("h").alias("a"), (F.col("a") + F.col("b") - F.col("h")).alias("b")), texts, size, percent))
+        seen = seen.unionByName(ask.select("a", "b"))
         if new.isEmpty():
             break
-        links, label, seen = links.unionByName(new), _joined(label, new), seen.unionByName(ask.select("a", "b"))
+        links, label = links.unionByName(new), _joined(label, new)
+
+    region = leaf.join(members, "node", "left_semi").join(label, "node", "left").select("head", "node", F.coalesce("component", "node").alias("c"))
+    several = region.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where((F.col("c0") != F.col("c1")) & (F.col("n") > min(near + 1, CROWD))).select("head")  # smaller ones are paired in full
+    rest = frames.cut(region.join(several, "head", "left_semi").select("node", "c").distinct())
+    if not rest.isEmpty():
+        ask = frames.cut(_alike(rest, texts, size, percent).join(seen, ["a", "b"], "left_anti"))
+        label = _joined(label, frames.cut(confirmed(ask, texts, size, percent)))
 
     node = frames.cut(classes_of(rows).join(label, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("c")))  # written, so that the join below may split a class of many copies
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))

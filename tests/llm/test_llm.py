@@ -154,6 +154,22 @@ def test_near_duplicates(spark):
     assert got == brute_components(rows, 4)
 
 
+def test_near_duplicates_in_crowded_regions(spark):
+    local, rows = random.Random(5), []
+    shared = [f"s{i}" for i in range(265)]
+    for d in range(0, 200, 2):  # pairs at 0.81 whose members are at 0.77 or less to all others
+        own = [f"u{d}_{i}" for i in range(40)]
+        rows += [(d, " ".join(shared + own)), (1000 + d * 7919 % 9973, " ".join(shared + own[:9] + [f"v{d}_{i}" for i in range(31)]))]
+    shared = [f"g{i}" for i in range(240)]
+    for g in range(2):  # two groups in one region
+        group = shared + [f"g{g}_{i}" for i in range(60)]
+        rows += [(300 + 40 * g + i, " ".join([*group, *(f"z{g}_{i}_{j}" for j in range(local.randint(10, 30)))])) for i in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in lsh_forest.near_duplicates(table(spark, rows), size=4).collect()}
+    want = brute_components(rows, 4)
+    assert len({c for _, c, _ in want.values()}) == 102
+    assert got == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 105), (105, 103)]
     got = {r.node: r.component for r in frames.components(spark.createDataFrame(chain, "a long, b long")).collect()}
