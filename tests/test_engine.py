@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.catalog import Engine
-from corpusmill.operators import matching, reconcile
+from corpusmill.operators import matching, reconcile, retrieval
 from corpusmill.sources import records
 
 
@@ -71,3 +71,15 @@ def test_engine(spark):
     with pytest.raises(ValueError):
         e.compare([1])
     assert docs.agg(F.count(F.lit(1))).first()[0] == 3
+
+
+def test_exact_knn_answers_every_query(spark):
+    v = spark.range(3).select(F.col("id").alias("doc_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("e"))
+    q = spark.range(1500).select((F.col("id") + 10).alias("query_id"), F.array(F.lit(1.0).cast("float"), F.lit(0.0).cast("float")).alias("query"))
+    got = retrieval.exact_knn(v, "doc_id", "e", q, 1).collect()
+    assert sorted((r.query_id, r.doc_id, r.score) for r in got) == [(i, 2, 2.0) for i in range(10, 1510)]
+
+
+def test_pareto_compares_with_all_rows(spark):
+    rows = spark.range(10_500, numPartitions=1).select("id", F.when(F.col("id") == 10_499, 10**6).otherwise(F.col("id")).alias("q"), F.when(F.col("id") == 10_499, -1).otherwise(F.col("id")).alias("cost"))
+    assert [r.id for r in retrieval.pareto(rows, ["q"], ["cost"]).collect()] == [10_499]
