@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.catalog import Engine
 from corpusmill.operators import matching, reconcile, retrieval
+from corpusmill.plans import registry, search_queries  # noqa: F401  registers its queries
 from corpusmill.sources import records
 
 
@@ -83,3 +84,10 @@ def test_exact_knn_answers_every_query(spark):
 def test_pareto_compares_with_all_rows(spark):
     rows = spark.range(10_500, numPartitions=1).select("id", F.when(F.col("id") == 10_499, 10**6).otherwise(F.col("id")).alias("q"), F.when(F.col("id") == 10_499, -1).otherwise(F.col("id")).alias("cost"))
     assert [r.id for r in retrieval.pareto(rows, ["q"], ["cost"]).collect()] == [10_499]
+
+
+def test_fuzzy_join_covers_the_whole_table(spark, tmp_path):
+    rows = [(1, "dark green lace", 5), (500, "dark green lacy", 5), (900, "dark green laces", 5), (901, "dark green lace", 6), (902, "x", 5), (903, None, 5)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = registry.QUERIES["d12_fuzzy_join"](spark, str(tmp_path)).collect()
+    assert sorted((r.a, r.b) for r in got) == [(1, 500), (1, 900), (500, 900)]
