@@ -139,7 +139,7 @@ def candidates(docs: DataFrame, *keep: str) -> DataFrame:
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
     text = F.col("text")
     digit = text.rlike("[0-9]")
-    at = text.contains("(at)") | text.contains("[at]") | text.contains(" dot ")
+    at = text.contains("(at)") | text.contains("[at]") | text.contains(" dot ") | text.contains("(dot)") | text.contains("[dot]")
     guards = {"email": (EMAIL, text.contains("@")), "ip": (IP, digit), "card": (CARD, digit), "phone": (PHONE, text.contains("+")), "local": (LOCAL, digit), "spelled": (SPELLED, at)}
     rows = rows.select("*", *[_matches(text, p, g).alias(f"m_{k}") for k, (p, g) in guards.items()])
     rows = rows.select(*keep, "text", *[_placed(k, p).alias(f"p_{k}") for k, (p, _) in guards.items()])

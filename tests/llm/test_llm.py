@@ -89,6 +89,12 @@ def test_pii(spark):
     assert (out[1].text, out[1].n_chars, out[1]._row, out[2].text) == ("mail [EMAIL] now", 16, "x", None)
 
 
+def test_pii_spelled_addresses(spark):
+    rows = [(1, "joe at mail [dot] com"), (2, "joe at mail(dot)com"), (3, "joe (at) mail dot com"), (4, "joe at mail")]
+    got = {r.doc_id: [(x.kind, x.s, x.e) for x in r.loose] for r in pii.candidates(table(spark, rows), "doc_id").collect()}
+    assert got == {1: [("email", 0, 21)], 2: [("email", 0, 19)], 3: [("email", 0, 21)], 4: []}
+
+
 def test_language_model(spark):
     vocabulary = [f"w{i}" for i in range(40)]
     rows = [(d, " ".join(rnd.choice(vocabulary[: 1 + d % 40]) for _ in range(rnd.randint(0, 60)))) for d in range(150)] + EDGES
