@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: An order is cut into no more parts than these; larger parts stream through a sort that can spill.
 MOST_BUCKETS = 20_000
+_OWN: dict[str, SparkSession] = {}
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,38 +38,61 @@ def ship(spark: SparkSession) -> None:
     sc._has_corpusmill = True
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows of an Arrow batch: texts can be long, and a worker holds a batch at a time."""
+def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "32m") -> None:
+    """Rows and bytes of an Arrow batch: texts can be long, and a worker holds a batch at a time."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one where none is set, as in tests."""
+    """The shared folder of the cluster; a temporary one where none is set and all tasks run in this process, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there goes when the driver ends, if not before."""
+    if not _OWN:
+        atexit.register(_sweep)
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _OWN[path] = spark
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the shared folder: later jobs survive lost executors without computing them anew."""
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"cut-{uuid.uuid4().hex}")
+    path = new_path(spark, "cut")
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     gc.collect()
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files of the plan that has been written
+    if jvm := getattr(spark, "_jvm", None):
+        jvm.System.gc()  # lets Spark delete the shuffle files of the plan that has been written
     return out
 
 
 def release(df: DataFrame) -> None:
     """Deletes what cut() wrote, when no later step reads it."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(df.sparkSession, df.cut_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    _OWN.pop(path, None)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _sweep() -> None:
+    for path, spark in list(_OWN.items()):
+        with contextlib.suppress(Exception):  # the session may have ended
+            delete(spark, path)
 
 
 def fetch(df: DataFrame) -> dict[str, np.ndarray]:
