@@ -13,7 +13,7 @@ sides) and the position bound (the shingle's place in the window) leave one
 stretch of words, which is compared with the window word for word.
 
 The documents are read twice and never shuffled; only occurrences are.  Tasks
-hold a filter of the shingles in question of at most ``FILTER_BITS``; what
+hold a filter of the shingles in question of at most ``filters.FILTER_BITS``; what
 passes is joined exactly, so a full filter costs time but no result.
 
 A null text has no words.  A null item_id counts as the empty id.  Repeated
@@ -27,43 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm import frames, vectext
-from corpusmill.llm.vectext import U64, signed
+from corpusmill.llm import filters, frames, vectext
+from corpusmill.llm.vectext import signed
 
-FILTER_BITS = 1 << 30
-#: Up to so many shingles are also held as a sorted list, and so tested exactly.
-EXACT_KEYS = 2_000_000
-
-
-class Filter:
-    """Which 64-bit hashes are of interest: a bitmap probed twice, then a sorted list if it is short."""
-
-    def __init__(self, keys: np.ndarray):
-        keys = np.unique(keys.view(U64))
-        bits = min(FILTER_BITS, max(1 << 16, 1 << int(32 * len(keys)).bit_length()))
-        self.mask = U64(bits - 1)
-        self.map = np.zeros(bits >> 3, dtype=np.uint8)
-        for at in self._at(keys):
-            np.bitwise_or.at(self.map, (at >> U64(3)).astype(np.int64), np.uint8(1) << (at & U64(7)).astype(np.uint8))
-        self.keys = keys if len(keys) <= EXACT_KEYS else None
-
-    def _at(self, h: np.ndarray):
-        return h & self.mask, (h >> U64(32)) & self.mask
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Indices of the hashes of interest."""
-        if self.keys is not None and not len(self.keys):
-            return np.zeros(0, dtype=np.int64)
-        at = h & self.mask
-        hit = np.flatnonzero(self.map[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1)
-        at = (h[hit] >> U64(32)) & self.mask
-        hit = hit[(self.map[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1).astype(bool)]
-        if self.keys is not None and len(hit):
-            hit = hit[self.keys[np.minimum(np.searchsorted(self.keys, h[hit]), len(self.keys) - 1)] == h[hit]]
-        return hit
+#: Places of a document that go in one row.
+PLACES = 1000
 
 
 def _words(block: vectext.Block) -> tuple[np.ndarray, vectext.Words]:
@@ -94,7 +65,7 @@ def _windows(window: int, shingle: int):
     return run
 
 
-def _found(block: vectext.Block, words: vectext.Words, sizes: list[int], wanted: Filter):
+def _found(block: vectext.Block, words: vectext.Words, sizes: list[int], wanted: filters.Filter):
     for s in sizes:
         g = vectext.grams(words.hash, s)
         hit = wanted.find(g)
@@ -118,34 +89,36 @@ def _counts(sizes: list[int], wanted):
 def _candidates(sizes: list[int], wanted, window: int, shingle: int, ids: list[str]):
     place = pa.list_(pa.struct([("sh", pa.int64()), ("pos", pa.int32()), ("left", pa.int32()), ("near", pa.string())]))
 
+    def batch_of(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        at, n, places = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in ids), pa.array(n, pa.int64()), pa.array(places, place)], [*ids, "n_words", "places"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, places = [], []
+            rows: list[tuple] = []  # row of the batch, words (only in its first row), places
             for block in vectext.blocks(batch.column("bytes")):
                 low, words = _words(block)
-                n_words.append(words.hi - words.lo)
                 own: list[list] = [[] for _ in range(len(block))]
                 for g, hit in _found(block, words, sizes, wanted.value):
                     for h, i in zip(signed(g).tolist(), hit.tolist(), strict=True):
                         r = words.doc[i]
                         a, b = max(words.lo[r], i - window + 1), min(words.hi[r], i + window)
                         own[r].append({"sh": h, "pos": i - int(words.lo[r]), "left": i - int(a), "near": _text(low, words, a, b)})
-                places += own
-            keep = [batch.column(c) for c in ids]
-            n = np.concatenate(n_words) if n_words else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(n.astype(np.int64)), pa.array(places, place)], [*ids, "n_words", "places"])
+                        if len(own[r]) == PLACES:
+                            rows.append((block.first + int(r), None, own[r]))
+                            own[r] = []
+                rows += [(block.first + r, int(n), p) for r, (n, p) in enumerate(zip(words.hi - words.lo, own, strict=True))]
+                if len(rows) >= PLACES:
+                    yield batch_of(batch, rows)
+                    rows = []
+            if rows:
+                yield batch_of(batch, rows)
 
     return run
 
 
-def _wanted(spark, keys: DataFrame):
-    """A broadcast filter of a column of hashes. Its size is bounded, and so is what the driver holds of the column at a time."""
-    parts = [np.fromiter((r[0] for r in keys.toLocalIterator()), dtype=np.int64)]
-    return spark.sparkContext.broadcast(Filter(np.concatenate(parts)))
-
-
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
-    """For each row: rid (names the row), doc_id, text_hash, n_words, n_hit, items (sorted ids of items with occurring windows)."""
+    """For each row: rid (names the row), doc_id, text_hash, n_words, n_hit and items (sorted ids of the items with occurring windows: no more than there are items)."""
     spark = docs.sparkSession
     frames.arrow_batches(spark)
     src = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("text_hash"), frames.text_bytes().alias("bytes"))
@@ -153,14 +126,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     wins = frames.cut(asked.mapInArrow(_windows(window, shingle), "item string, words string, n int, shingles array<long>").distinct())
 
     sizes = sorted(r[0] for r in wins.select(F.least("n", F.lit(shingle))).distinct().collect())
-    filt = _wanted(spark, wins.select(F.explode("shingles")).distinct())
+    filt = spark.sparkContext.broadcast(filters.build(wins.select(F.explode("shingles")).distinct()))
     counts = frames.cut(src.select("bytes").mapInArrow(_counts(sizes, filt), "sh long, n long").groupBy("sh").agg(F.sum("n").alias("freq")))
     each = wins.select("item", "words", "n", F.posexplode("shingles").alias("at", "sh"))
     rare = each.join(counts, "sh", "left").groupBy("item", "words", "n").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "at", "sh")).alias("x"))
     prefix = frames.cut(rare.where("x.freq > 0").select("item", "words", "n", F.col("x.at").alias("at"), F.col("x.sh").alias("sh")))
 
     n = prefix.count()
-    filt = _wanted(spark, prefix.select("sh").distinct())
+    filt = spark.sparkContext.broadcast(filters.build(prefix.select("sh").distinct()))
     kind = docs.schema["doc_id"].dataType.simpleString()
     sizes = sorted(r[0] for r in prefix.select(F.least("n", F.lit(shingle))).distinct().collect())
     rows = frames.cut(src.mapInArrow(_candidates(sizes, filt, window, shingle, ["rid", "doc_id", "text_hash"]), f"rid long, doc_id {kind}, text_hash long, n_words long, places array<struct<sh:long,pos:int,left:int,near:string>>"))
@@ -171,10 +144,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     near = F.split("near", " ")
     at = at.where((first >= 0) & (first + F.col("n") <= F.size(near))).where(F.array_join(F.slice(near, first + 1, F.col("n")), " ") == F.col("words"))
     hits = at.select("rid", "item", (F.col("pos") - F.col("at")).alias("lo"), (F.col("pos") - F.col("at") + F.col("n")).alias("hi"))
-    hits = hits.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n")), lambda s, x: F.struct(F.greatest(s["to"], x["hi"]).alias("to"), (s["n"] + F.greatest(F.lit(0), x["hi"] - F.greatest(s["to"], x["lo"]))).alias("n")))
-    hits = hits.select("rid", done["n"].alias("n_hit"), "items", "spans")
-    return rows.select("rid", "doc_id", "text_hash", "n_words").join(hits, "rid", "left").select("rid", "doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
+    hits = frames.cut(hits.distinct())
+    before = F.max("hi").over(Window.partitionBy("rid").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))
+    spans = hits.select("rid", "lo", "hi").distinct().withColumn("from", F.greatest("lo", F.coalesce(before, F.lit(0))))
+    n_hit = spans.groupBy("rid").agg(F.sum(F.greatest(F.col("hi") - F.col("from"), F.lit(0))).cast("long").alias("n_hit"))
+    found = hits.select("rid", "item").distinct().groupBy("rid").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    out = rows.where("n_words is not null").select("rid", "doc_id", "text_hash", "n_words").join(n_hit.join(found, "rid"), "rid", "left")
+    return out.select("rid", "doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:

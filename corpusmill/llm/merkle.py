@@ -4,15 +4,16 @@ Sections are separated by blank lines, paragraphs by line breaks.  A paragraph
 falls into passages, cut after words whose hash is a multiple of ``spread``, so
 that an edit moves no cut elsewhere.  A leaf is the hash of a passage with its
 separators; a paragraph, a section and the root are hashes of the ordered
-hashes below them.  Equal texts have equal roots; where roots differ, the
-branches that differ locate the edit.
+hashes below them.  Equal texts have equal roots; where roots differ, only
+branches that differ are followed, down to the passages (``edits``).
 
 The printed form is the root (16 hex digits), a colon, and base64 of the
 shape's size, the shape (number of sections, the paragraphs of each, the
 passages of each paragraph, the length of each passage) and 4 bytes of hash
 for each passage.  Only
-this form is compared: likeness is the share of bytes in passages that both
-have (as multisets), 1 for equal roots.
+this form is compared: likeness is 1 for equal roots, else the share of bytes in
+sections that both have, in paragraphs of the other sections, and in passages of
+the other paragraphs (as multisets).
 
 A null text is empty; two empty texts are alike (1), an empty one and any other
 are not (0).  Rows are put in descending order of doc_id (nulls last, ties by
@@ -25,6 +26,7 @@ import base64
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -122,23 +124,90 @@ def parse(fingerprint: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return v[1:a], v[a:b], v[b:], np.frombuffer(body, dtype="<u4", offset=n)
 
 
-def _leaves(fingerprint: str) -> tuple[str, Counter, int]:
-    _, _, lens, hashes = parse(fingerprint)
-    return fingerprint[:16], Counter((lens.astype(np.int64) << 32 | hashes).tolist()), int(lens.sum())
+class Tree:
+    """A printed form's tree: keys and bytes of sections, paragraphs and passages, and where the children of each branch begin."""
 
+    __slots__ = ("first", "keys", "root", "size")
 
-def _alike(a: tuple[str, Counter, int], b: tuple[str, Counter, int]) -> float:
-    if a[0] == b[0]:
+    def __init__(self, fingerprint: str):
+        self.root = fingerprint[:16]
+        sections, paragraphs, lens, hashes = parse(fingerprint)
+        leaf = (lens.astype(np.int64) << 32 | hashes).view(U64)
+        starts = [np.concatenate(([0], np.cumsum(n))) for n in (sections, paragraphs)]
+        keys, size = [leaf], [lens]
+        for start in reversed(starts):
+            keys.insert(0, _fold(mix(keys[0]), start[:-1]) if len(leaf) else leaf)
+            size.insert(0, np.add.reduceat(size[0], start[:-1]) if len(leaf) else lens)
+        self.keys, self.size, self.first = [k.tolist() for k in keys], [x.tolist() for x in size], [x.tolist() for x in starts]
+
+    @property
+    def total(self) -> int:
+        return sum(self.size[0])
+
+    def below(self, level: int, nodes: list[int]) -> list[int]:
+        """Children of branches."""
+        first = self.first[level]
+        return [j for i in nodes for j in range(first[i], first[i + 1])]
+
+
+def _alike(a: Tree, b: Tree) -> float:
+    """From the top: a branch that both have counts whole; only the others' children are looked at."""
+    if a.root == b.root:
         return 1.0
-    if not a[2] or not b[2]:
+    whole = a.total + b.total
+    if not a.total or not b.total:
         return 0.0
-    small, large = (a[1], b[1]) if len(a[1]) < len(b[1]) else (b[1], a[1])
-    return round(2 * sum(min(n, large[k]) * (k >> 32) for k, n in small.items() if k in large) / (a[2] + b[2]), 6)
+    shared, left, right = 0, list(range(len(a.keys[0]))), list(range(len(b.keys[0])))
+    for level in range(3):
+        have = Counter(b.keys[level][j] for j in right)
+        taken: Counter = Counter()
+        rest = []
+        for i in left:
+            k = a.keys[level][i]
+            if taken[k] < have.get(k, 0):
+                taken[k] += 1
+                shared += a.size[level][i]
+            else:
+                rest.append(i)
+        other = []
+        for j in right:
+            k = b.keys[level][j]
+            if taken[k]:
+                taken[k] -= 1
+            else:
+                other.append(j)
+        if level < 2:
+            left, right = a.below(level, rest), b.below(level, other)
+    return round(2 * shared / whole, 6)
 
 
 def likeness(a: str, b: str) -> float:
     """0 to 1, from two fingerprints alone."""
-    return _alike(_leaves(a), _leaves(b))
+    return _alike(Tree(a), Tree(b))
+
+
+def edits(a: str, b: str) -> list[tuple[int, int, int, int]]:
+    """Byte ranges (from, to in the first text; from, to in the second) outside which two texts are the same, from their fingerprints.
+
+    Equal roots need no look further; sections are aligned in order, then the paragraphs of those that differ, then their passages.
+    """
+    x, y = Tree(a), Tree(b)
+    if x.root == y.root:
+        return []
+    at = [[[0, *np.cumsum(size).tolist()] for size in t.size] for t in (x, y)]
+
+    def apart(level: int, i0: int, i1: int, j0: int, j1: int):
+        same = SequenceMatcher(None, x.keys[level][i0:i1], y.keys[level][j0:j1], autojunk=False)
+        for kind, p, q, r, s in same.get_opcodes():
+            if kind == "equal":
+                continue
+            p, q, r, s = p + i0, q + i0, r + j0, s + j0
+            if level < 2 and p < q and r < s:
+                yield from apart(level + 1, x.first[level][p], x.first[level][q], y.first[level][r], y.first[level][s])
+            else:
+                yield at[0][level][p], at[0][level][q], at[1][level][r], at[1][level][s]
+
+    return list(apart(0, 0, len(x.keys[0]), 0, len(y.keys[0])))
 
 
 def _edited(text: str, after: str) -> str:
@@ -150,7 +219,7 @@ def _rows(kind: str):
     """Rows of a bucket in order, each followed by its next; the last row of a bucket is only the next of the one before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # bucket, doc_id, text, fingerprint, leaves
+        held = None  # bucket, doc_id, text, fingerprint, tree
         for batch in batches:
             cols = {c: [] for c in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
             buckets, ids, halo = (batch.column(c).to_pylist() for c in ("bucket", "doc_id", "halo"))
@@ -164,7 +233,7 @@ def _rows(kind: str):
                 prints = fingerprints(texts[i:j])
                 pending = []
                 for k in range(i, j):
-                    now = (buckets[k], ids[k], texts[k].decode("utf-8", "replace"), prints[k - i], _leaves(prints[k - i]))
+                    now = (buckets[k], ids[k], texts[k].decode("utf-8", "replace"), prints[k - i], Tree(prints[k - i]))
                     if held is not None and held[0] == now[0]:
                         pending.append((held, now, _edited(held[2], now[2])))
                     held = None if halo[k] else now
@@ -175,7 +244,7 @@ def _rows(kind: str):
                     cols["edited_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
                     cols["fingerprint"].append(own[3])
                     cols["edited_fingerprint"].append(fp)
-                    cols["near_edited"].append(_alike(own[4], _leaves(fp)))
+                    cols["near_edited"].append(_alike(own[4], Tree(fp)))
                     cols["near_next"].append(_alike(own[4], after[4]))
                 i = j
             kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

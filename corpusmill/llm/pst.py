@@ -2,19 +2,29 @@
 
 Tokens are words (lower-cased A-Z, split at ASCII white space) and one end for
 each text.  The root is the add-one distribution over all words of the
-training texts and one unknown.  Below it stand contexts of one and more
-words, read backwards from the scored place.  A context is a candidate if its
-words are symbols and it is frequent enough; it is retained if its next-symbol
-distribution diverges from its parent's.  A retained node interpolates
-absolutely discounted counts with its parent, so every state sums to one, and a
-token is scored from the longest retained suffix of what stands before it.
-
-Sizes.  Symbols, contexts and next-symbol entries are those above fixed shares
-of the training tokens (``context_share``, ``entry_share``), so the tree that is
-sent to all tasks has at most 1/share of each, whatever the corpus; the counts
-behind it are exact over all training texts.  Word counts are unbounded: the
-most frequent ``hot_words`` are sent along, all others are joined by a shuffle
-that carries each document's rare words only.
+training texts and one unknown.  Below it stand contexts of one up to ``depth``
+words, read backwards from the scored place, the start of a text being one.  A
+context is a candidate if it occurs ``least`` times; it is retained if its
+next-symbol distribution diverges from its parent's (the longest retained
+shorter suffix) by ``gain`` an occurrence.  A retained node interpolates
+absolutely discounted counts with its parent, so every state sums to one.
+
+A token's probability is that of the longest retained suffix of what stands
+before it.  Its logarithm is the root's plus what each retained suffix adds to
+the next shorter one: an entry's own lift, or the back-off weight where the
+context has no entry for the token.  So a text's score is a sum of independent
+look-ups, whatever their order.
+
+Sizes.  Thresholds are absolute counts, so the tree grows with the corpus; it
+is a table, built level by level by grouping and joins.  A level counts only
+places whose shorter context is a candidate, found by a bitmap of bounded size
+that may let others pass (they are dropped by the join).  For scoring, the most
+frequent ``hot_words`` words, ``hot_contexts`` contexts and ``hot_entries``
+entries are sent to all tasks, and what isn't among them is joined by a
+shuffle; the result doesn't depend on these three.
+
+Words and contexts are told apart by 64-bit hashes.  An entry is a next word
+that occurs ``least`` times in all and twice after the context.
 
 A null text is empty: its end is its only token.  A null doc_id hashes as the
 empty text.  Rows are scored one by one; repeated rows count as often as they
@@ -23,27 +33,32 @@ occur.  With no training text N and V are 0.  Other columns are ignored.
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm import frames, vectext
-from corpusmill.llm.vectext import U64, signed
+from corpusmill.llm import filters, frames, vectext
+from corpusmill.llm.vectext import U64, mix, signed
 
-END = np.uint64(0xE0D)  # the hash that stands for the end of a text
+END, START = np.uint64(0xE0D), np.uint64(0x57A7)  # the hashes that stand for the end of a text and for what is before it
 DISCOUNT = 0.75
 #: Text whose counts a task gathers before it sends them on.
 SEGMENT = 16 << 20
-BOS, OTHER = 0, -1
+_STEP = 0x9E3779B97F4A7C15
 
 
-def _streams(batches: Iterator[pa.RecordBatch], training: bool | None):
-    """(batch, block, words, token hashes with ends, their rows, held-out flags of the rows); training: only these rows."""
+def _part(words: np.ndarray, distance: int) -> np.ndarray:
+    """What a word at a distance from the end of a sequence adds (xor) to the sequence's hash."""
+    return mix(words + U64(distance * _STEP & (1 << 64) - 1))
+
+
+def _streams(batches: Iterator[pa.RecordBatch], training: bool):
+    """(batch, block, token hashes with ends, their rows, held-out flags of the rows, tokens of the rows); training: only these rows' tokens."""
     for batch in batches:
         ids = ["" if x is None else str(x) for x in batch.column("doc_id").to_pylist()]
         out = np.fromiter((zlib.crc32(x.encode()) % 7 == 2 for x in ids), dtype=bool, count=len(ids))
@@ -63,17 +78,17 @@ def _streams(batches: Iterator[pa.RecordBatch], training: bool | None):
             yield batch, block, h, row, held, n + 1
 
 
-def _counted(parts: Iterator[tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
-    """Counts of keys, a segment at a time."""
+def _counted(parts: Iterator[tuple[np.ndarray, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
+    """Counts of keys, each with its context, a segment at a time."""
 
     def out(held):
-        key, n = np.unique(np.concatenate(held), return_counts=True)
-        for i in range(0, len(key), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key[i : i + (1 << 16)])), pa.array(n[i : i + (1 << 16)].astype(np.int64))], ["k", "n"])
+        key, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, first, n = np.unique(key, return_index=True, return_counts=True)
+        yield from _rows(key, ctx[first], n)
 
     held, size = [], 0
-    for key, n in parts:
-        held.append(key)
+    for key, ctx, n in parts:
+        held.append((key, ctx))
         size += n
         if size >= SEGMENT:
             yield from out(held)
@@ -82,221 +97,211 @@ def _counted(parts: Iterator[tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch
         yield from out(held)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _counted((h, len(block.buf)) for _, block, h, _, _, _ in _streams(batches, True))
-
-
-class Tree:
-    """The part of the model that all tasks hold.
-
-    symbols: sorted hashes; symbol i + 1 is the i-th (0 is the start of a text).
-    levels: for each depth the sorted codes of its candidate contexts, whether
-    each is retained, its back-off weight, and the sorted codes of its entries
-    with their discounted probabilities.
-    """
-
-    def __init__(self, symbols: np.ndarray, words: np.ndarray, word_counts: np.ndarray, n: int, v: int):
-        self.symbols, self.words, self.word_counts = symbols, words, word_counts
-        self.n, self.v = n, v
-        self.levels: list[dict] = []
-
-    @property
-    def width(self) -> int:
-        return len(self.symbols) + 1
-
-    def p0(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + 1.0) / (self.n + self.v + 1.0)
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        return _find(self.symbols, h, 1, OTHER)
+def _rows(key: np.ndarray, ctx: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(key), 1 << 16):
+        j = slice(i, i + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(key[j])), pa.array(signed(ctx[j])), pa.array(n[j].astype(np.int64))], ["k", "ctx", "n"])
 
-    def contexts(self, sym: np.ndarray, row: np.ndarray, depth: int) -> np.ndarray:
-        """Index of each place's candidate context of a depth among that level's; -1: none."""
-        at = np.zeros(len(sym), dtype=np.int64)
-        for level in range(depth):
-            back = _shift(sym, row, level + 1)
-            ok = (at >= 0) & (back >= 0)
-            code = np.where(ok, at * self.width + back, -1)
-            at = _find(self.levels[level]["codes"], code, 0, -1)
-        return at
 
-
-def _find(keys: np.ndarray, x: np.ndarray, base: int, missing: int) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(x), missing, dtype=np.int64)
-    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return np.where(keys[at] == x, at + base, missing)
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _counted((key := _part(h, 1), np.zeros(len(key), dtype=U64), len(block.buf)) for _, block, h, _, _, _ in _streams(batches, True))
 
 
-def _shift(sym: np.ndarray, row: np.ndarray, by: int) -> np.ndarray:
-    """The symbol so many places before, BOS where the text starts just there, OTHER before that."""
-    out = np.full(len(sym), OTHER, dtype=np.int64)
-    out[by:] = np.where(row[by:] == row[:-by], sym[:-by], OTHER) if by < len(sym) else out[by:]
-    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, dtype=np.int64)
-    at = first + by - 1
-    ok = at < np.concatenate((first[1:], [len(row)]))
-    out[at[ok]] = BOS
-    return out
+def _walk(h: np.ndarray, row: np.ndarray, at: np.ndarray, levels: list[filters.Filter]):
+    """For each level: the places whose context is a candidate there and above; hashes of context, and of context and token; the oldest word."""
+    first = np.searchsorted(row, row[at]) if len(at) else at
+    ctx, key = np.zeros(len(at), dtype=U64), _part(h[at], 1)
+    for d, level in enumerate(levels, 1):
+        ok = at - d >= first - 1
+        at, first, ctx, key = at[ok], first[ok], ctx[ok], key[ok]
+        old = np.where(at - d >= first, h[np.maximum(at - d, 0)], START)
+        ctx = ctx ^ _part(old, d)
+        hit = level.find(ctx)
+        at, first, ctx, old = at[hit], first[hit], ctx[hit], old[hit]
+        key = key[hit] ^ _part(old, d + 1)
+        if not len(at):
+            return
+        yield d, at, ctx, key, old
 
 
-def _context_counts(held, depth: int):
-    """Counts of (context of the depth, next symbol) over training texts, as codes context * width + symbol; and of contexts alone (symbol 0)."""
+def _entries(held):
+    """(k, ctx, n): counts of the last level's contexts with next symbols; and with n = 0 what turns a context's keys into those of its suffix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = held.value
+        symbols, levels = held.value
+        turned: list = []
 
-        def codes():
+        def parts():
             for _, block, h, row, _, _ in _streams(batches, True):
-                if len(h):
-                    sym = tree.ids(h)
-                    at = tree.contexts(sym, row, depth)
-                    ok = at >= 0
-                    code = at[ok] * tree.width
-                    yield np.concatenate((code, code[sym[ok] > 0] + sym[ok][sym[ok] > 0])).view(U64), len(block.buf)
-
-        yield from _counted(codes())
+                for d, _, ctx, key, old in _walk(h, row, symbols.find(_part(h, 1)), levels):
+                    if d == len(levels):
+                        one, first = np.unique(ctx, return_index=True)
+                        turned.append((one, _part(old[first], d + 1)))
+                        yield key, ctx, len(block.buf)
+
+        for batch in _counted(parts()):
+            yield batch
+            if turned:
+                ctx, turn = (np.concatenate(x) for x in zip(*turned, strict=True))
+                turned.clear()
+                ctx, first = np.unique(ctx, return_index=True)
+                yield from _rows(turn[first], ctx, np.zeros(len(ctx)))
 
     return run
 
 
 def _score(held, ids: list[str]):
     rare = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
+    cold = pa.list_(pa.struct([("k", pa.int64()), ("ctx", pa.int64())]))
+
+    def lists(row, k, columns, kind):
+        """A list for each row of structs of its columns; rows are in order."""
+        bounds = np.searchsorted(row, np.arange(k + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(c) for c in columns], [f.name for f in kind.value_type])).cast(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = held.value
-        for batch, block, h, row, out, n in _streams(batches, None):
-            at = _find(tree.words, h, 0, -1)
-            hot = at >= 0
-            counts = np.where(hot, tree.word_counts[np.maximum(at, 0)] if len(tree.words) else 0, 0)
-            p = tree.p0(counts)
-            base = np.where(hot, np.log10(p), 0.0)
-            sym = tree.ids(h)
-            lift = np.zeros(len(h))  # log10 of the weight of the root for words whose count is joined later
-            for depth, level in enumerate(tree.levels, 1):
-                ctx = tree.contexts(sym, row, depth)
-                ok = ctx >= 0
-                ok[ok] = level["kept"][ctx[ok]]
-                if not ok.any():
-                    continue
-                c = ctx[ok]
-                entry = _find(level["entries"], np.where(sym[ok] > 0, c * tree.width + sym[ok], -1), 0, -1)
-                add = np.where(entry >= 0, level["probs"][np.maximum(entry, 0)] if len(level["entries"]) else 0.0, 0.0)
-                p[ok] = add + level["back"][c] * p[ok]
-                lift[ok] += np.log10(level["back"][c])
-            score = np.where(hot, np.log10(p), lift)
+        words, size, levels, backs, lifts, any_context, any_entry = held.value
+        for batch, block, h, row, out, n in _streams(batches, False):
             k = len(block)
-            cold = ~hot
-            key = np.stack((row[cold].astype(U64), h[cold])) if cold.any() else np.zeros((2, 0), dtype=U64)
-            o = np.lexsort((key[1], key[0]))
-            key = key[:, o]
-            new = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0)))) if key.shape[1] else np.zeros(0, dtype=np.int64)
-            times = np.diff(np.concatenate((new, [key.shape[1]])))
-            bounds = np.searchsorted(key[0][new], np.arange(k + 1).astype(U64)).astype(np.int32)
-            items = pa.StructArray.from_arrays([pa.array(signed(np.ascontiguousarray(key[1][new]))), pa.array(times.astype(np.int64))], ["h", "n"])
-            lists = pa.ListArray.from_arrays(pa.array(bounds), items).cast(rare)
-            sums = [np.bincount(row, weights=x, minlength=k) for x in (base, score)]
+            key = _part(h, 1)
+            base, counts = np.zeros(len(h)), np.zeros(len(h), dtype=np.int64)
+            hit, own = words.find(key)
+            base[hit], counts[hit] = np.log10((own + 1.0) / size), own
+            is_cold = np.ones(len(h), dtype=bool)
+            is_cold[hit] = False
+            lift, asked = np.zeros(len(h)), []
+            for _, at, ctx, kk, _ in _walk(h, row, np.arange(len(h)), levels):
+                own, sure = np.zeros(len(at)), np.ones(len(at), dtype=bool)
+                if any_context is not None:
+                    sure[any_context.find(ctx)] = False
+                hit, value = backs.find(ctx)
+                own[hit], sure[hit] = value, True
+                if any_entry is not None:
+                    sure[any_entry.find(kk)] = False
+                hit, value = lifts.find(kk)
+                own[hit], sure[hit] = value, True
+                lift[at] += np.where(sure, own, 0.0)
+                if not sure.all():
+                    asked.append((row[at[~sure]], kk[~sure], ctx[~sure]))
+            r, c = row[is_cold], key[is_cold]
+            o = np.lexsort((c, r))
+            r, c = r[o], c[o]
+            new = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])))) if len(r) else np.zeros(0, dtype=np.int64)
+            times = np.diff(np.concatenate((new, [len(r)]))).astype(np.int64)
+            if asked:
+                ar, ak, ac = (np.concatenate(x) for x in zip(*asked, strict=True))
+                o = np.argsort(ar, kind="stable")
+                ar, ak, ac = ar[o], ak[o], ac[o]
+            else:
+                ar, ak, ac = np.zeros(0, dtype=np.int64), key[:0], key[:0]
+            sums = [np.bincount(row, weights=x, minlength=k) for x in (base, lift)]
             known = np.bincount(row, weights=counts > 0, minlength=k).astype(np.int64)
-            keep = [batch.column(c).slice(block.first, k) for c in ids]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(out), pa.array(n.astype(np.int64)), pa.array(known), pa.array(sums[0]), pa.array(sums[1]), lists], [*ids, "held_out", "n_tokens", "n_hot", "base", "lm", "rare"])
+            keep = [batch.column(x).slice(block.first, k) for x in ids]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(out), pa.array(n.astype(np.int64)), pa.array(known), pa.array(sums[0]), pa.array(sums[1]), lists(r[new], k, (signed(np.ascontiguousarray(c[new])), times), rare), lists(ar, k, (signed(ak), signed(ac)), cold)], [*ids, "held_out", "n_tokens", "n_hot", "base", "lift", "rare", "cold"])
 
     return run
 
 
-def _level(tree: Tree, depth: int, codes: np.ndarray, counts: DataFrame, least_entry: int, gain: float) -> dict:
-    """A finished level from the counts of its candidate contexts (codes) and their next symbols."""
-    width = tree.width
-    got = frames.fetch(counts.where((F.col("k") % width == 0) | (F.col("n") >= least_entry)))  # at most one row a context, and 1/entry_share entries
-    k, n = got["k"].astype(np.int64), got["n"].astype(np.float64)
-    o = np.argsort(k)
-    k, n = k[o], n[o]
-    own = k % width == 0
-    total = np.zeros(len(codes))
-    total[k[own] // width] = n[own]
-    k, n = k[~own], n[~own]
-    ctx, sym = k // width, k % width
-    probs = np.maximum(n - DISCOUNT, 0) / total[ctx]
-    back = np.maximum(1 - np.bincount(ctx, weights=probs, minlength=len(codes)), 1e-12)
-    parent = tree.p0(tree.word_counts[np.minimum(np.searchsorted(tree.words, tree.symbols[sym - 1]), len(tree.words) - 1)]) if len(k) else np.zeros(0)
-    for d, level in enumerate(tree.levels, 1):  # what the retained shorter suffixes say
-        up = _suffix(tree, codes, depth, d)[ctx]
-        ok = up >= 0
-        ok[ok] = level["kept"][up[ok]]
-        entry = _find(level["entries"], np.where(ok, up * width + sym, -1), 0, -1)
-        add = np.where(entry >= 0, level["probs"][np.maximum(entry, 0)] if len(level["entries"]) else 0.0, 0.0)
-        parent = np.where(ok, add + level["back"][np.maximum(up, 0)] * parent, parent)
-    mine = probs + back[ctx] * parent
-    diverges = np.bincount(ctx, weights=n * np.log(mine / parent), minlength=len(codes)) + (total - np.bincount(ctx, weights=n, minlength=len(codes))) * np.log(back)
-    kept = diverges >= gain * np.maximum(total, 1)
-    stays = kept[ctx]
-    return {"codes": codes, "kept": kept, "back": back, "entries": k[stays], "probs": probs[stays], "all": (k, n)}
-
-
-def _suffix(tree: Tree, codes: np.ndarray, depth: int, d: int) -> np.ndarray:
-    """Index among level d's contexts of the d latest symbols of each context of a depth."""
-    at, c = codes, []
-    for level in range(depth - 1, -1, -1):  # symbols of the context, oldest first
-        c.append(at % tree.width)
-        up = at // tree.width
-        at = tree.levels[level - 1]["codes"][up] if level else up
-    latest = c[::-1]
-    at = np.zeros(len(codes), dtype=np.int64)
-    for level in range(d):
-        at = _find(tree.levels[level]["codes"], np.where(at >= 0, at * tree.width + latest[level], -1), 0, -1)
-    return at
-
-
-def score(docs: DataFrame, depth: int = 2, context_share: float = 5e-5, entry_share: float = 2e-6, least: int = 20, gain: float = 0.005, hot_words: int = 400_000) -> DataFrame:
+def _most(df: DataFrame, limit: int) -> tuple[int, int]:
+    """The least power of two so that no more than ``limit`` rows have n at or above it; and how many rows there are."""
+    sizes = df.agg(F.count(F.lit(1)).alias("all"), *[F.count_if(F.col("n") >= 1 << i).alias(f"c{i}") for i in range(48)]).first()
+    return next(1 << i for i in range(48) if sizes[f"c{i}"] <= limit), sizes["all"]
+
+
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= frames.BROADCAST_ROWS // 2 else df
+
+
+def _level(found: DataFrame, contexts: DataFrame, many: int, prior: DataFrame, prior_rows: int, gain: float) -> tuple[DataFrame, DataFrame]:
+    """Retained contexts (ctx, n, back) and the level's entries (k, ctx, n, kept, lift, lp), from counts of candidate contexts.
+
+    lp is the log probability of an entry under the longest retained suffix up to this level, lift what this level adds to it.
+    """
+    turn = found.where("n = 0").select("ctx", F.col("k").alias("turn"))
+    known = frames.cut(contexts.select(F.col("k").alias("ctx"), F.col("n").alias("total")).join(turn, "ctx"))
+    each = found.where("n > 1").join(_small(known, many), "ctx").withColumn("pk", F.col("k").bitwiseXOR(F.col("turn")))
+    each = each.join(_small(prior.select(F.col("k").alias("pk"), F.col("lp").alias("up")), prior_rows), "pk")
+    each = frames.cut(each.select("k", "ctx", "n", "total", "up", ((F.col("n") - DISCOUNT) / F.col("total")).alias("share")))
+    rest = each.groupBy("ctx").agg(F.greatest(1 - F.sum("share"), F.lit(1e-12)).alias("back"))
+    each = each.join(_small(rest, many), "ctx").withColumn("own", F.log(F.col("share") + F.col("back") * F.exp("up")))
+    told = each.groupBy("ctx").agg(F.sum(F.col("n") * (F.col("own") - F.col("up"))).alias("gained"), F.sum("n").alias("seen"), F.first("back").alias("back"))
+    told = known.join(told, "ctx").where((F.col("gained") + (F.col("total") - F.col("seen")) * F.log("back")) >= gain * F.col("total"))
+    told = frames.cut(told.select("ctx", F.col("total").alias("n"), F.log10("back").alias("back")))
+    kept = _small(told.select("ctx", F.lit(True).alias("kept")), many)
+    each = each.join(kept, "ctx", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    entries = frames.cut(each.select("k", "ctx", "n", "kept", ((F.col("own") - F.col("up")) / F.lit(np.log(10.0).item())).alias("lift"), F.when(F.col("kept"), F.col("own")).otherwise(F.col("up")).alias("lp")))
+    return told, entries
+
+
+def score(docs: DataFrame, depth: int = 4, least: int = 16, gain: float = 0.005, hot_words: int = 400_000, hot_contexts: int = 400_000, hot_entries: int = 2_000_000) -> DataFrame:
     """Each row's doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     spark = docs.sparkSession
     frames.arrow_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    send = spark.sparkContext.broadcast
     src = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", frames.text_bytes().alias("bytes"))
-    counts = frames.cut(src.mapInArrow(_word_counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")))
-    sizes = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("v"), *[F.count_if(F.col("n") >= 1 << i).alias(f"c{i}") for i in range(48)]).first()
-    n, v = sizes["total"] or 0, sizes["v"]
-    floor = next(1 << i for i in range(48) if sizes[f"c{i}"] <= hot_words)
-    hot = frames.fetch(counts.where(F.col("n") >= floor))
-    words, own = hot["k"].astype(np.int64).view(U64), hot["n"].astype(np.int64)
-    o = np.argsort(words)
-    words, own = words[o], own[o]
-    common = max(least, math.ceil(context_share * n), floor)
-    tree = Tree(words[own >= common], words, own, n, v)
-    entry = max(2, math.ceil(entry_share * n))
+    shape = "k long, ctx long, n long"
+    counts = frames.cut(src.mapInArrow(_word_counts, shape).groupBy("k").agg(F.sum("n").alias("n")))
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    size = n + v + 1.0
+
+    start, end = (int(signed(_part(np.array([x]), 1))[0]) for x in (START, END))
+    symbols = frames.cut(counts.where(F.col("n") >= least))
+    many = symbols.count()
+    contexts = symbols.withColumn("k", F.when(F.col("k") == end, F.lit(start)).otherwise(F.col("k")))  # a text has one end, and one start
+    prior, prior_rows = symbols.withColumn("lp", F.log((F.col("n") + 1.0) / size)), many
+    sound = filters.build(symbols.select("k"), many)
+    levels, backs, lifts = [], [], []
     for d in range(1, depth + 1):
-        if d == 1:  # every symbol and the start of a text, but not the end
-            codes = np.flatnonzero(np.concatenate(([True], tree.symbols != END)))
-        else:  # an earlier symbol before a context of the level above: entries (context, next) read as (next, context)
-            up = tree.levels[-1]
-            codes = _longer(tree, up, d, common)
-        if not len(codes):
+        if d > 1:
+            contexts = prior.where(F.col("n") >= least).select("k", "n")
+            many = contexts.count()
+        if not many:
             break
-        tree.levels.append({"codes": codes})
-        held = spark.sparkContext.broadcast(tree)
-        found = src.mapInArrow(_context_counts(held, d), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-        tree.levels.pop()
-        tree.levels.append(_level(tree, d, codes, found, entry, gain))
-    held = spark.sparkContext.broadcast(tree)
-    rows = frames.cut(src.mapInArrow(_score(held, ["rid", "doc_id"]), f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_hot long, base double, lm double, rare array<struct<h:long,n:long>>"))
-    each = rows.where(F.size("rare") > 0).select("rid", F.inline("rare")).withColumnRenamed("n", "times")
-    rare = each.join(counts.where(F.col("n") < floor).withColumnRenamed("k", "h"), "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    p0 = F.log10((F.col("n") + 1.0) / F.lit(n + v + 1.0))
-    rare = rare.groupBy("rid").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_rare"), F.sum(F.col("times") * p0).alias("p_rare"))
-    z = F.coalesce("p_rare", F.lit(0.0))
-    return rows.drop("rare").join(rare, "rid", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_hot") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + z).alias("base_score"), (F.col("lm") + z).alias("score"))
-
-
-def _longer(tree: Tree, up: dict, depth: int, common: int) -> np.ndarray:
-    """Codes of contexts of the next depth: frequent chains of symbols whose later part is a context already."""
-    k, n = up["all"]
-    often = n >= common
-    ctx, nxt = k[often] // tree.width, k[often] % tree.width
-    # the chain, oldest first, is the context's symbols and then the next one
-    back, at = [nxt], up["codes"][ctx]
-    for level in range(depth - 2, -1, -1):
-        back.insert(1, at % tree.width)
-        at = tree.levels[level - 1]["codes"][at // tree.width] if level else at // tree.width
-    found = np.zeros(len(ctx), dtype=np.int64)
-    for level, sym in enumerate(back[:-1]):
-        found = _find(tree.levels[level]["codes"], np.where(found >= 0, found * tree.width + sym, -1), 0, -1)
-    ok = found >= 0
-    return np.unique(found[ok] * tree.width + back[-1][ok])
+        levels.append(filters.build(contexts.select("k"), many))
+        found = frames.cut(src.mapInArrow(_entries(send((sound, levels))), shape).groupBy("k", "ctx").agg(F.sum("n").alias("n")).where("n <> 1"))
+        told, prior = _level(found, contexts, many, prior, prior_rows, gain)
+        frames.release(found)
+        prior_rows = prior.count()
+        backs.append(told)
+        lifts.append(prior.where("kept").select("k", "n", "lift"))
+
+    def hot(parts: list[DataFrame], value: str, limit: int) -> tuple[filters.Table, DataFrame | None, int]:
+        """The most frequent rows, all rows if there are others, and the count from which rows are among the first."""
+        if not parts:
+            return filters.Table(np.zeros(0, dtype=np.int64), np.zeros(0)), None, 0
+        every = reduce(DataFrame.unionByName, parts).toDF("k", "n", value)
+        floor, rows = _most(every, limit)
+        got = frames.fetch((every if rows <= limit else every.where(F.col("n") >= floor)).select("k", value))
+        return filters.Table(got["k"].astype(np.int64), got[value].astype(np.float64)), every if rows > limit else None, floor
+
+    words, more_words, floor = hot([counts.select("k", "n", F.col("n").alias("c"))], "c", hot_words)
+    back, more_contexts, _ = hot(backs, "back", hot_contexts)
+    lift, more_entries, entry_floor = hot(lifts, "lift", hot_entries)
+    any_context = filters.build(more_contexts.select("k")) if more_contexts is not None else None
+    any_entry = filters.build(more_entries.where(F.col("n") < entry_floor).select("k")) if more_entries is not None else None
+    held = send((words, size, levels, back, lift, any_context, any_entry))
+    rows = src.mapInArrow(_score(held, ["rid", "doc_id"]), f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_hot long, base double, lift double, rare array<struct<h:long,n:long>>, cold array<struct<k:long,ctx:long>>")
+    rows = frames.cut(rows)
+
+    zero = F.lit(0.0)
+    out = rows.drop("rare", "cold")
+    if more_words is not None:
+        each = rows.where(F.size("rare") > 0).select("rid", F.inline("rare")).withColumnRenamed("n", "times")
+        each = each.join(counts.where(F.col("n") < floor).withColumnRenamed("k", "h"), "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    else:  # words that no training text has
+        each = rows.where(F.size("rare") > 0).select("rid", F.inline("rare")).withColumnRenamed("n", "times").withColumn("n", F.lit(0))
+    p0: Column = F.log10((F.col("n") + 1.0) / F.lit(size))
+    rare = each.groupBy("rid").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_rare"), F.sum(F.col("times") * p0).alias("p_rare"))
+    out = out.join(rare, "rid", "left")
+    if any_context is not None or any_entry is not None:
+        empty = spark.createDataFrame([], "k long, n long, value double")
+        entries = (more_entries if more_entries is not None else empty).toDF("k", "n", "lift").select("k", "lift")
+        nodes = reduce(DataFrame.unionByName, backs).select("ctx", "back")
+        cold = rows.where(F.size("cold") > 0).select("rid", F.inline("cold")).join(entries, "k", "left").join(nodes, "ctx", "left")
+        cold = cold.groupBy("rid").agg(F.sum(F.coalesce("lift", "back", zero)).alias("p_cold"))
+        out = out.join(cold, "rid", "left")
+    else:
+        out = out.withColumn("p_cold", zero)
+    base = F.col("base") + F.coalesce("p_rare", zero)
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_hot") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("lift") + F.coalesce("p_cold", zero)).alias("score"))

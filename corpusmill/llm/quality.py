@@ -19,8 +19,8 @@ The evidence is fitted on at most about ``max_fit`` labelled rows, picked by a
 hash of doc_id; rates and judgements cover all rows.
 
 A null text is empty.  Null host or path is a site of its own.  Labels without
-a document or with nulls are left out of what they don't tell; without labels
-everything is kept.  Repeated rows are judged alike.  Other columns are ignored.
+a document are left out, and so is a null label for its fault; of several labels
+of a document the worst counts; without labels everything is kept.  Repeated rows are judged alike.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm import frames, vectext
-from corpusmill.llm.decontam import Filter
+from corpusmill.llm import filters, frames, vectext
 from corpusmill.llm.vectext import U64, mix, signed
 
 FAULTS = ("toxic", "low")
@@ -81,9 +80,10 @@ def _features(block: vectext.Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each batch and feature: documents, and those with each fault."""
+    """For each batch and feature: for each fault the documents that are labelled for it, and those with it."""
     for batch in batches:
-        y = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FAULTS])
+        y = np.stack([batch.column(f).to_numpy(zero_copy_only=False).astype(np.float64) for f in FAULTS])  # null: nan
+        y = np.concatenate((~np.isnan(y), np.nan_to_num(y)))
         hs, ys = [], []
         for block in vectext.blocks(batch.column("bytes")):
             row, h = _features(block)
@@ -92,8 +92,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if hs:
             key, of = np.unique(np.concatenate(hs), return_inverse=True)
             every = np.concatenate(ys, axis=1)
-            sums = [np.bincount(of, minlength=len(key)), *(np.bincount(of, weights=x, minlength=len(key)).astype(np.int64) for x in every)]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *(pa.array(x.astype(np.int64)) for x in sums)], ["h", "n", *FAULTS])
+            sums = [np.bincount(of, weights=x, minlength=len(key)) for x in every]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *(pa.array(x.astype(np.int64)) for x in sums)], ["h", *(f"n_{f}" for f in FAULTS), *FAULTS])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +114,7 @@ class Evidence:
     def __init__(self, h: np.ndarray, weights: np.ndarray):
         o = np.argsort(h)
         self.h, self.weights = h[o], weights[:, o]
-        self.filter = Filter(self.h)
+        self.filter = filters.Filter.of(self.h)
 
     def _of(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.weights), len(h)))
@@ -178,39 +178,40 @@ def fit(labelled: DataFrame, significance: float = 6.0, support: float = 0.02) -
     labelled = labelled.select("doc_id", "bytes", *FAULTS).mapInArrow(_sketch, shape).dropDuplicates(["k1"]).dropDuplicates(["k2"])
     labelled = frames.cut(labelled.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0))
     first = labelled.where("not part").select("bytes", *FAULTS)
-    sizes = first.agg(F.count(F.lit(1)), *[F.sum(f) for f in FAULTS]).first()
-    total, faulty = sizes[0], [int(x or 0) for x in sizes[1:]]
-    counts = first.mapInArrow(_count, "h long, n long, toxic long, low long").groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(f).alias(f) for f in FAULTS])
+    sizes = first.agg(*[F.count(f) for f in FAULTS], *[F.sum(f) for f in FAULTS]).first()
+    total, faulty = ([int(x or 0) for x in sizes[i : i + len(FAULTS)]] for i in (0, len(FAULTS)))
+    counts = first.mapInArrow(_count, "h long, n_toxic long, n_low long, toxic long, low long").groupBy("h").agg(*[F.sum(c).alias(c) for f in FAULTS for c in (f"n_{f}", f)])
     raised = F.lit(False)
-    for f, k in zip(FAULTS, faulty, strict=True):
-        rate = k / total if total else 0.0
-        raised = raised | (F.col(f) > F.col("n") * rate + significance * F.sqrt(F.col("n") * (rate * (1 - rate))))
-    got = counts.where((F.col("n") >= 5) & raised).toPandas()  # features of a bounded number of rows that stand out
-    n = got["n"].to_numpy(np.float64)
-    weights = np.stack([_ratios(n, got[f].to_numpy(np.float64), total, k, significance, support) for f, k in zip(FAULTS, faulty, strict=True)])
+    for f, n, k in zip(FAULTS, total, faulty, strict=True):
+        rate, own = k / n if n else 0.0, F.col(f"n_{f}")
+        raised = raised | (own >= 5) & (F.col(f) > own * rate + significance * F.sqrt(own * (rate * (1 - rate))))
+    got = counts.where(raised).toPandas()  # features of a bounded number of rows that stand out
+    weights = np.stack([_ratios(got[f"n_{f}"].to_numpy(np.float64), got[f].to_numpy(np.float64), n, k, significance, support) for f, n, k in zip(FAULTS, total, faulty, strict=True)])
     use = (weights > 0).any(axis=0)
     evidence = Evidence(got["h"].to_numpy(np.int64).view(U64)[use], weights[:, use])
     held = spark.sparkContext.broadcast(evidence)
     rest = labelled.where("part").mapInArrow(_scores(held, list(FAULTS)), "toxic int, low int, s_toxic double, s_low double").toPandas()
     line = {}
     for f in FAULTS:
-        y = rest[f].to_numpy(np.float64)
-        a, b = _logistic(rest[f"s_{f}"].to_numpy(np.float64), y)
+        y, s = rest[f].to_numpy(np.float64), rest[f"s_{f}"].to_numpy(np.float64)
+        y, s = y[~np.isnan(y)], s[~np.isnan(y)]
+        a, b = _logistic(s, y)
         line[f] = (a, b - math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))  # without the sample's own prior
     return evidence, line
 
 
 def site_rates(labelled: DataFrame) -> tuple[DataFrame, dict[str, float]]:
     """Rates by (host, path), shrunk toward the host's and that toward the global rate; and the global rates."""
-    sums = lambda df, by: df.groupBy(*by).agg(F.sum("n").alias("n"), *[F.sum(f).alias(f) for f in FAULTS])
-    path = frames.cut(labelled.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(f) for f in FAULTS]))
-    host = sums(path, ["host"])
-    row = path.agg(F.sum("n").alias("n"), *[F.sum(f).alias(f) for f in FAULTS]).first()
-    base = {f: ((row[f] or 0) + 0.5) / ((row["n"] or 0) + 1) for f in FAULTS}
+    both = [c for f in FAULTS for c in (f"n_{f}", f)]
+    path = frames.cut(labelled.groupBy("host", "path").agg(*[x for f in FAULTS for x in (F.count(f).alias(f"n_{f}"), F.coalesce(F.sum(f), F.lit(0)).alias(f))]))
+    host = path.groupBy("host").agg(*[F.sum(c).alias(c) for c in both])
+    row = path.agg(*[F.sum(c).alias(c) for c in both]).first()
+    base = {f: ((row[f] or 0) + 0.5) / ((row[f"n_{f}"] or 0) + 1) for f in FAULTS}
 
     def strength(df: DataFrame, mean) -> dict[str, float]:
         """Prior weight in rows: rate variance within over the variance between sites beyond chance."""
-        r = df.where("n > 1").agg(*[x.alias(f"{f}{i}") for f in FAULTS for i, x in enumerate((F.sum(F.pow(F.col(f) / F.col("n") - mean(f), 2) * F.col("n")), F.sum(mean(f) * (1 - mean(f))), F.sum("n")))]).first()
+        of = lambda f, x: F.sum(F.when(F.col(f"n_{f}") > 1, x))
+        r = df.agg(*[x.alias(f"{f}{i}") for f in FAULTS for n in (F.col(f"n_{f}"),) for i, x in enumerate((of(f, F.pow(F.col(f) / n - mean(f), 2) * n), of(f, mean(f) * (1 - mean(f))), of(f, n)))]).first()
         out = {}
         for f in FAULTS:
             seen, chance, rows = (float(r[f"{f}{i}"] or 0) for i in range(3))
@@ -220,10 +221,10 @@ def site_rates(labelled: DataFrame) -> tuple[DataFrame, dict[str, float]]:
         return out
 
     mh = strength(host, lambda f: F.lit(base[f]))
-    host = host.select("host", *[((F.col(f) + mh[f] * base[f]) / (F.col("n") + mh[f])).alias(f"h_{f}") for f in FAULTS])
+    host = host.select("host", *[((F.col(f) + mh[f] * base[f]) / (F.col(f"n_{f}") + mh[f])).alias(f"h_{f}") for f in FAULTS])
     path = path.join(host, path["host"].eqNullSafe(host["host"])).drop(host["host"])
     mp = strength(path, lambda f: F.col(f"h_{f}"))
-    path = path.select("host", "path", *[f"h_{f}" for f in FAULTS], *[((F.col(f) + mp[f] * F.col(f"h_{f}")) / (F.col("n") + mp[f])).alias(f"r_{f}") for f in FAULTS])
+    path = path.select("host", "path", *[f"h_{f}" for f in FAULTS], *[((F.col(f) + mp[f] * F.col(f"h_{f}")) / (F.col(f"n_{f}") + mp[f])).alias(f"r_{f}") for f in FAULTS])
     return path, base
 
 
@@ -238,7 +239,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     src = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), host.cast("string").alias("host"), path.cast("string").alias("path"), frames.text_bytes().alias("bytes"))
-    told = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce((F.col("toxic") > 0).cast("int"), F.lit(0))).alias("toxic"), F.max(F.coalesce((F.col("quality") < 1).cast("int"), F.lit(0))).alias("low"))
+    told = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"), F.max((F.col("quality") < 1).cast("int")).alias("low")).where("toxic is not null or low is not null")
     told = frames.cut(told)
     n = told.count()
     share = int(min(1.0, max_fit / max(1, n)) * (1 << 20))

@@ -1,7 +1,7 @@
 """Token ids on disk: static range asymmetric numeral systems in independent blocks.
 
-Documents are tokenized, put in ascending order of doc_id (nulls last, ties in
-any order) and written in segments.  A segment has one frequency table, counted
+Documents are tokenized, put in ascending order of doc_id (nulls last, ties by
+text) and written in segments.  A segment has one frequency table, counted
 over all its ids and shared by its blocks; each block is coded on its own by
 interleaved 64-bit states with 32-bit words, and carries its place in the
 segment, its states (the checkpoint from which it decodes) and a checksum of
@@ -20,8 +20,6 @@ A null text is empty; it still has its end id.  Other columns are ignored.
 
 from __future__ import annotations
 
-import os
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -146,7 +144,7 @@ def _tokenize(path: str, end_id: int):
                 out += [np.append(ids[b - n : b], np.uint32(end_id)).astype("<u4") for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
             wide = [len(x) and int(x.max()) > 0xFFFF for x in out]
             raw = pa.array([x.tobytes() if w else x.astype("<u2").tobytes() for x, w in zip(out, wide, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("doc_id"), pa.array(wide, pa.bool_()), raw], ["bucket", "doc_id", "wide", "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bucket", "doc_id", "tie")), pa.array(wide, pa.bool_()), raw], ["bucket", "doc_id", "tie", "wide", "ids"])
 
     return run
 
@@ -184,10 +182,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, rows_
     spark = docs.sparkSession
     frames.arrow_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    src = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("pos"), frames.text_bytes().alias("bytes"))
+    src = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("pos"), frames.text_bytes().alias("bytes"), F.xxhash64("text").alias("tie"))
     parts = max(1, min(src.count() // rows_per_bucket, frames.MOST_BUCKETS))
-    ids = src.select(frames.order_bucket(src, parts).alias("bucket"), "doc_id", "bytes").mapInArrow(_tokenize(tokenizer, end_id), f"bucket int, doc_id {kind}, wide boolean, ids binary")
-    dealt = ids.repartition(parts, "bucket").sortWithinPartitions("bucket", F.asc_nulls_last("doc_id"))
+    ids = src.select(frames.order_bucket(src, parts).alias("bucket"), "doc_id", "tie", "bytes").mapInArrow(_tokenize(tokenizer, end_id), f"bucket int, doc_id {kind}, tie long, wide boolean, ids binary")
+    dealt = ids.repartition(parts, "bucket").sortWithinPartitions("bucket", F.asc_nulls_last("doc_id"), "tie")
     shape = f"bucket int, segment int, n_tokens long, doc_ids array<{kind}>, doc_tokens array<long>, table binary, blocks array<binary>"
     dealt.mapInArrow(_segments(kind), shape).write.option("compression", "none").parquet(path)
 
@@ -212,15 +210,17 @@ def _read(kind):
 
 def read_ids(spark, path: str) -> DataFrame:
     """What write_ids wrote: doc_id, start (ids of all documents before), n_tokens, ids_crc32, ids (little-endian unsigned 32-bit)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # rows are whole segments
+    frames.arrow_batches(spark)
     files = spark.read.parquet(path)
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
-    before = Window.orderBy("bucket", "segment").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("bucket", "segment", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))  # a row for each segment
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = files.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before("bucket")), F.lit(0)).alias("first"))  # MOST_BUCKETS rows at most
+    starts = files.select("bucket", "segment", F.coalesce(F.sum("n_tokens").over(before("bucket", "segment")), F.lit(0)).alias("base"))  # a row for each segment
+    starts = starts.join(F.broadcast(buckets), "bucket").select("bucket", "segment", (F.col("base") + F.col("first")).alias("base"))
     docs = files.mapInArrow(_read(kind), f"bucket int, segment int, doc_id {kind}, at long, n_tokens long, ids_crc32 long, ids binary")
     n = files.count()
     return docs.join(F.broadcast(starts) if n <= frames.BROADCAST_ROWS else starts, ["bucket", "segment"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
 def new_path(spark) -> str:
-    return os.path.join(frames.shared_dir(spark), f"ids-{uuid.uuid4().hex}")
+    return frames.new_path(spark, "ids")

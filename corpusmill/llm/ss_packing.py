@@ -6,10 +6,11 @@ the fill level that makes the sum of the squared counts least (a new sequence
 being level 0, and a full one leaving the array), ties to the fullest.  A task
 packs its own rows, in order, as they come.
 
-Open sequences are bounded: at ``most_open``, and at the end of a task, the
-emptier ones are taken apart and their pieces laid end to end, cut where a
-sequence is full.  So a task pads one sequence at most, and none if that
-sequence holds a power of two.
+Memory bounds the open sequences: beyond ``MOST_OPEN``, which lengths that fit
+one another don't reach, the emptier half is taken apart and its pieces are laid
+end to end, cut where a sequence is full.  So are those left at the end of a
+task, which therefore pads one sequence at most, and none if that sequence holds
+a power of two.
 
 A null or empty text is its end id alone.  Rows are packed one by one, repeated
 rows too; doc_id is only carried along.  Ids of sequences are unique, and those
@@ -29,10 +30,14 @@ from pyspark.sql import DataFrame
 from corpusmill.llm import frames, tokens, vectext
 
 
+#: Sequences that a task holds open, of at most 16 kB each.
+MOST_OPEN = 4096
+
+
 class Packer:
     """Pieces are (doc, start, ids, doc_tokens); a sequence that closes is handed to ``out`` as its list of pieces."""
 
-    def __init__(self, capacity: int, out, most_open: int = 512):
+    def __init__(self, capacity: int, out, most_open: int = MOST_OPEN):
         self.capacity, self.out, self.most_open = capacity, out, most_open
         self.levels = np.zeros(capacity + 1, dtype=np.int64)
         self.open: dict[int, list[list]] = {}
@@ -49,11 +54,11 @@ class Packer:
     def _place(self, piece: tuple) -> None:
         c, size = self.capacity, len(piece[2])
         levels = self.levels
-        after = levels[size:].copy()  # the level reached from h = 0 .. c - size
-        after[-1] = -1  # full: nothing is left open; one square less than an empty level
-        cost = 2 * (after - levels[: c - size + 1]) + 2
-        cost[levels[: c - size + 1] == 0] = np.iinfo(np.int64).max
-        cost[0] = 2 * levels[size] + 1 if size < c else 0
+        have = levels[: c - size + 1]
+        cost = 2 * (levels[size:] - have) + 2  # from level h = 0 .. c - size to h + size
+        cost[-1] = 1 - 2 * have[-1]  # full: nothing is left open
+        cost[have == 0] = np.iinfo(np.int64).max
+        cost[0] = 2 * levels[size] + 1
         h = len(cost) - 1 - int(np.argmin(cost[::-1]))
         if h:
             pieces = self.open[h].pop()

@@ -1,20 +1,23 @@
-"""Removal of repeated byte strings: a depth-limited radix order of suffixes.
+"""Removal of repeated byte strings: windows grouped by digits of growing depth.
 
-Suffixes matter only through their first ``length`` bytes; two that agree so
-far are the same repeated window.  The most significant digit of a window is
-its anchor, the k-gram with the least hash in it: equal windows have equal
-anchors at equal places, so windows only ever meet within a digit.  Windows
-that follow each other mostly share one anchor and go through the first pass
-as one row.  The passes:
+Only the first ``length`` bytes of a suffix matter; two that agree so far are
+the same repeated window.  Ordering every suffix by its leading bytes over the
+cluster would send each byte of text many times, so the first digit is one that
+neighbouring windows share: a window's anchor, the k-gram with the least hash
+in it.  Equal windows have equal anchors at equal places, so windows only ever
+meet within a digit, and windows that follow each other mostly go through the
+first pass as one row.  The passes:
 
 1. by anchor (one row for each anchor and segment of text).  If all windows
    around an anchor are the same everywhere, the group is decided here: all but
    its earliest member repeat.
 2. by anchor and surroundings, for the anchors whose surroundings differ
    somewhere: again all but the earliest of a class repeat.
-3. by whole window, for the windows around what is left of these classes.  A
-   class sends its bytes once, to where its anchor's windows are set out and
-   ordered; anchors with many classes send each window by its own hash instead.
+3. for the windows around what is left of these classes, a radix sort to depth
+   ``length``, the most significant bytes first: a pass of eight bytes orders
+   only the windows that are equal so far and drops those that stand alone, and
+   what is equal at the end repeats.  Anchors with many classes send each window
+   by its hash instead.
 
 A segment sends one row for each digit at most, as later members of a group
 repeat an earlier one whatever other segments hold.  Hence no group is larger
@@ -48,15 +51,27 @@ MANY = 8192
 #: So many anchors with differing surroundings are sent to all tasks; beyond, they are joined.
 BROADCAST_KEYS = 8_000_000
 _POS, _NO_ID = 28, (1 << 63) - 1
+#: Bytes of a text whose anchors are found at a time.
+LARGEST = 1 << (_POS - 1)
 _ROW = "key long, sc long, doc long, place long"
 
 
 def _anchored(block: vectext.Block, length: int):
     """Of each anchor: k-gram hash, hash of all its windows, and the first and last start in the buffer."""
-    buf = block.buf
+    if len(block.buf) <= LARGEST:
+        return _anchored_part(block.buf, block.start, block.end, length)
+    parts = []  # a text so long is a block of its own; its windows are dealt out by their starts
+    for a in range(0, len(block.buf), LARGEST - length + 1):
+        z = min(a + LARGEST, int(block.end[0]))
+        kg, sc, lo, hi = _anchored_part(block.buf[a:z], np.array([0]), np.array([max(0, z - a)]), length)
+        parts.append((kg, sc, lo + a, hi + a))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _anchored_part(buf: np.ndarray, start: np.ndarray, end: np.ndarray, length: int):
     w = length - ANCHOR + 1
     none = np.zeros(0, dtype=np.int64)
-    ok = block.end - block.start >= length
+    ok = end - start >= length
     if not ok.any():
         return none.view(U64), none.view(U64), none, none
     gram, whole = vectext.rolling(buf, (ANCHOR, length), 11)
@@ -70,7 +85,7 @@ def _anchored(block: vectext.Block, length: int):
     m = len(key) - w + 1
     least = np.minimum(suffix[:m], prefix[w - 1 : w - 1 + m])
     at = (least & U64((1 << _POS) - 1)).astype(np.int64)
-    valid = np.concatenate([np.arange(s, e - length + 1) for s, e in zip(block.start[ok], block.end[ok], strict=True)])
+    valid = np.concatenate([np.arange(s, e - length + 1) for s, e in zip(start[ok], end[ok], strict=True)])
     a = at[valid]
     new = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
     lo = valid[new]
@@ -199,12 +214,38 @@ def _set_out(batches: list[pa.RecordBatch], length: int):
     return one, two, np.repeat(doc, n), np.repeat(tag, n).astype(np.int64), step + np.repeat(lo, n)
 
 
+def _radix(batches: list[pa.RecordBatch], length: int):
+    """Every window of the rows' bytes that has an equal, by most-significant-digit passes: group, doc, tag and start.
+
+    A digit is eight bytes; a pass orders only windows that are equal so far, and drops those that no other equals any more.
+    """
+    ctx = [x for b in batches for x in b.column("ctx").to_pylist()]
+    doc, tag, lo = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in batches]) for c in ("doc", "tag", "lo"))
+    block = vectext.Block(ctx, 0)
+    n = block.end - block.start - length + 1
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    row, at = np.repeat(np.arange(len(n)), n), step + np.repeat(block.start, n)
+    digits = np.lib.stride_tricks.sliding_window_view(np.concatenate((block.buf, np.zeros(8, dtype=np.uint8))), 8)
+    group = np.zeros(len(at), dtype=np.int64)
+    for d in range(0, length, 8):
+        if not len(at):
+            break
+        digit = np.ascontiguousarray(digits[at + min(d, length - 8)]).view(">u8").ravel().astype(U64)
+        o = np.lexsort((digit, group))
+        digit, group, at, row, step = digit[o], group[o], at[o], row[o], step[o]
+        new = np.concatenate(([True], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])))
+        many = ~(new & np.concatenate((new[1:], [True])))
+        group = (np.cumsum(new) - 1)[many]
+        at, row, step = at[many], row[many], step[many]
+    return group, doc[row], tag[row].astype(np.int64), step + lo[row]
+
+
 def _group_windows(length: int):
     """Rows in order of kg: the window starts that repeat an earlier one of the same anchor."""
 
     def found(held):
-        one, two, doc, tag, at = _set_out(held, length)
-        o, _, _, later = _ordered(one, two, doc, at)
+        group, doc, tag, at = _radix(held, length)
+        o, _, _, later = _ordered(group, group, doc, at) if len(group) else (group, group, group, group.astype(bool))
         d, t, a, b = _runs(doc[o][later], tag[o][later], at[o][later], at[o][later])
         return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t.astype(np.int32)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["doc", "tag", "lo", "hi"])
 
