@@ -3,14 +3,15 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
-from math import log10
+from math import log, log10
 
 import numpy as np
 import pytest
 
-from corpusmill.llm import decontam, frames, lsh_forest, merkle, pii, pst, quality, rans, ring, ss_packing, suffix_dedup, tokens, vectext
+from corpusmill.llm import decontam, filters, frames, lsh_forest, merkle, pii, pst, quality, rans, ring, ss_packing, suffix_dedup, tokens, vectext
 
 rnd = random.Random(11)
 
@@ -44,9 +45,10 @@ def brute_repeats(rows, n=100):
     return out
 
 
-@pytest.mark.parametrize("many", [suffix_dedup.MANY, 1])
-def test_repeated_spans(spark, monkeypatch, many):
+@pytest.mark.parametrize(("many", "largest"), [(suffix_dedup.MANY, suffix_dedup.LARGEST), (1, 150)])
+def test_repeated_spans(spark, monkeypatch, many, largest):
     monkeypatch.setattr(suffix_dedup, "MANY", many)
+    monkeypatch.setattr(suffix_dedup, "LARGEST", largest)
     parts = ["".join(rnd.choice("abcdé ") for _ in range(rnd.randint(80, 260))) for _ in range(6)]
     rows = [(d, "".join(rnd.choice([rnd.choice(parts), rnd.choice(parts)[20:150], "".join(rnd.choice("abcdé ") for _ in range(rnd.randint(1, 120)))]) for _ in range(rnd.randint(0, 5)))) for d in range(60)] + EDGES
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(table(spark, rows)).collect()}
@@ -89,25 +91,125 @@ def test_pii(spark):
     assert (out[1].text, out[1].n_chars, out[1]._row, out[2].text) == ("mail [EMAIL] now", 16, "x", None)
 
 
-def test_pii_spelled_addresses(spark):
-    rows = [(1, "joe at mail [dot] com"), (2, "joe at mail(dot)com"), (3, "joe (at) mail dot com"), (4, "joe at mail")]
-    got = {r.doc_id: [(x.kind, x.s, x.e) for x in r.loose] for r in pii.candidates(table(spark, rows), "doc_id").collect()}
-    assert got == {1: [("email", 0, 21)], 2: [("email", 0, 19)], 3: [("email", 0, 21)], 4: []}
+def test_pii_loose_candidates(spark):
+    rows = [(1, "joe at mail [dot] com"), (2, "joe at mail(dot)com"), (3, "é joe (at) mail dot com"), (4, "joe at mail"), (5, "ip 10[.]0[.]0[.]1 x"), (6, "10.0.0.1"), (7, "call 415 555-2671"), (8, "+1 415 555-2671"), (9, "4111 1111 1111 1112"), (10, "fe80:0:0:0:1:2:3:4")]
+    docs = table(spark, rows).withColumnRenamed("doc_id", "rid")
+    got = {(r.rid, r.kind, r.s, r.e) for r in pii.spans(pii.hits(docs, "rid")).where("not base").collect()}
+    assert got == {(1, "email", 0, 21), (2, "email", 0, 19), (3, "email", 2, 23), (5, "ip", 3, 17), (7, "phone", 5, 17), (9, "card", 0, 19), (10, "ip", 0, 18)}
 
 
-def test_language_model(spark):
-    vocabulary = [f"w{i}" for i in range(40)]
-    rows = [(d, " ".join(rnd.choice(vocabulary[: 1 + d % 40]) for _ in range(rnd.randint(0, 60)))) for d in range(150)] + EDGES
+def test_pii_reliabilities():
+    local, hit, miss = random.Random(8), [0.9, 0.8, 0.6, 0.7], [0.1, 0.3, 0.05, 0.2]
+    counts = Counter()
+    for _ in range(40_000):
+        true = local.random() < 0.3
+        counts["ip", sum(1 << i for i in range(4) if local.random() < (hit if true else miss)[i])] += 1
+    got = pii.reliabilities(counts)["ip"]
+    assert got["prior"] == pytest.approx(0.3, abs=0.04)
+    assert got["hit"] == pytest.approx(hit, abs=0.05) and got["miss"] == pytest.approx(miss, abs=0.05)
+
+
+def test_pii_adds_what_the_votes_and_features_tell(spark):
+    local, rows = random.Random(9), []
+    digits = lambda n: "".join(local.choice("23456789") for _ in range(n))
+    for d in range(400):
+        kind = d % 4
+        if kind == 0:
+            rows.append((d, f"please call +1 415 {digits(3)}-{digits(4)} now"))
+        elif kind == 1:
+            rows.append((d, f"please call 415 {digits(3)}-{digits(4)} now"))
+        elif kind == 2:
+            rows.append((d, f"lot 015 {digits(3)}-{digits(4)}x of parts"))
+        else:
+            rows.append((d, "nothing"))
+    got = {r.doc_id: r for r in pii.find(table(spark, rows)).collect()}
+    assert all(len(got[d].spans) == (d % 4 < 2) and len(got[d].base) == (d % 4 == 0) for d in range(400))
+    out = {r.doc_id: r.text for r in pii.redact(table(spark, rows)).collect()}
+    assert out[0] == out[1] == "please call [PHONE] now" and out[2] == rows[2][1]
+
+
+def test_pii_redacts_many_matches(spark):
+    text = "é joe@mail.example.com, 10.0.0.1 " * 20_000
+    started = time.time()
+    got = pii.redact(table(spark, [(1, text), (1, text), (2, "a@b.c, +1 415 555-2671; 4111 1111 1111 1111")])).collect()
+    assert sorted(r.text for r in got) == sorted(["é [EMAIL], [IP] " * 20_000] * 2 + ["[EMAIL], [PHONE]; [CARD]"])
+    assert time.time() - started < 60
+
+
+def brute_tree(rows, depth, least, gain, texts):
+    """Score of each text by the definition: p by the longest retained suffix."""
+    start, end = "<", ">"
+    train = [[*words(t), end] for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    count = Counter(x for t in train for x in t)
+    n, v = sum(count.values()), len(count)
+    pairs = {d: Counter() for d in range(1, depth + 1)}
+    for t in train:
+        line = [start, *t]
+        for i in range(1, len(line)):
+            for d in range(1, min(depth, i) + 1):
+                pairs[d][tuple(line[i - d : i]), line[i]] += 1
+    kept = {}
+
+    def prob(ctx, x):
+        if not ctx:
+            return (count[x] + 1) / (n + v + 1)
+        if ctx not in kept:
+            return prob(ctx[1:], x)
+        entries, total, back = kept[ctx]
+        return max(entries.get(x, 0) - 0.75, 0) / total + back * prob(ctx[1:], x)
+
+    symbols = {x for x in count if count[x] >= least}
+    for d in range(1, depth + 1):
+        total = Counter()
+        entries = {}
+        for (ctx, x), k in pairs[d].items():
+            total[ctx] += k
+            if k > 1 and x in symbols:
+                entries.setdefault(ctx, {})[x] = k
+        new = {}
+        for ctx, own in entries.items():
+            if total[ctx] < least:
+                continue
+            back = max(1e-12, 1 - sum(k - 0.75 for k in own.values()) / total[ctx])
+            gained = sum(k * log((k - 0.75) / total[ctx] / prob(ctx[1:], x) + back) for x, k in own.items()) + (total[ctx] - sum(own.values())) * log(back)
+            if gained >= gain * total[ctx]:
+                new[ctx] = (own, total[ctx], back)
+        kept |= new
+    out = {}
+    for key, t in texts:
+        line = [start, *words(t), end]
+        out[key] = sum(log10(prob(tuple(line[max(0, i - depth) : i]), line[i])) for i in range(1, len(line)))
+    return out, kept
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 3])
+def test_language_model(spark, hot, monkeypatch):
+    monkeypatch.setattr(filters, "EXACT_KEYS", hot)
+    local = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(25)]
+    rows = []
+    for d in range(160):
+        t = []
+        for _ in range(local.randint(0, 60)):
+            t.append(vocabulary[(vocabulary.index(t[-1]) * 3 + vocabulary.index(t[-2])) % 25] if len(t) > 1 and local.random() < 0.7 else local.choice(vocabulary[: 1 + d % 25]))
+        rows.append((d, " ".join(t)))
+    rows += [*EDGES, (None, "w1 w2"), (7, "w1"), (7, "w1"), (970, "never seen words w1 w2 w3")]
     counts = Counter()
     for d, t in rows:
-        if zlib.crc32(str(d).encode()) % 7 != 2:
+        if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2:
             counts.update([*words(t), 0])
     n, v = sum(counts.values()), len(counts)
-    for hot in (400_000, 5):
-        for r in pst.score(table(spark, rows), hot_words=hot).collect():
-            t = [*words(dict(rows)[r.doc_id]), 0]
-            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2, len(t), sum(x in counts for x in t), n)
-            assert r.base_score == pytest.approx(sum(log10((counts[x] + 1) / (n + v + 1)) for x in t))
+    texts = [(i, t) for i, (_, t) in enumerate(rows)]
+    want, kept = brute_tree([("" if d is None else d, t) for d, t in rows], 3, 5, 0.01, texts)
+    assert max(map(len, kept)) == 3
+    by = {}
+    for i, (d, t) in enumerate(rows):
+        by.setdefault(d, []).append((zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2, len(words(t)) + 1, sum(x in counts for x in [*words(t), 0]), round(sum(log10((counts[x] + 1) / (n + v + 1)) for x in [*words(t), 0]), 6), round(want[i], 6)))
+    got = {}
+    for r in pst.score(table(spark, rows), depth=3, least=5, gain=0.01, hot_words=hot, hot_contexts=hot, hot_entries=hot).collect():
+        assert r.train_tokens == n
+        got.setdefault(r.doc_id, []).append((r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)))
+    assert {k: sorted(x) for k, x in got.items()} == {k: [pytest.approx(y) for y in sorted(x)] for k, x in by.items()}
 
 
 def test_language_model_learns_contexts(spark):
@@ -176,6 +278,19 @@ def test_near_duplicates_in_crowded_regions(spark):
     assert got == want
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    text = lambda c: [f"{c}{i}" for i in range(60)]
+    near = lambda c: [*text(c)[:-1], "end"]
+    rows = [(1, text("a")), (1, text("b")), (2, near("a")), (3, near("b")), (7, text("c")), (7, text("c")), (8, near("c")), (9, text("d")), (5, text("d")), (5, text("e")), (6, near("e"))]
+    rows = [(d, " ".join(t)) for d, t in rows] + [(None, " ".join(text("a"))), (None, None), (20, None), (20, "x y")]
+    got = lsh_forest.near_duplicates(table(spark, rows), size=4).collect()
+    want = {1: {1}, 2: {1}, 3: {1}, 7: {7}, 8: {7}, 9: {5}, 5: {5}, 6: {5}, None: {None}, 20: {20}}
+    assert len(got) == len(rows)
+    for d, c in want.items():
+        assert {r.component_id for r in got if r.doc_id == d} == c
+    assert all(r.kept == (r.doc_id is None or r.component_id == r.doc_id) for r in got)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 105), (105, 103)]
     got = {r.node: r.component for r in frames.components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -197,6 +312,27 @@ def test_merkle(spark):
     assert got[990].fingerprint == got[991].fingerprint != got[901].fingerprint
 
 
+def test_merkle_finds_edits():
+    para = lambda: " ".join(f"w{rnd.randint(0, 5000)}" for _ in range(rnd.randint(5, 60)))
+    for _ in range(60):
+        parts = [para() for _ in range(rnd.randint(1, 12))]
+        text = "".join(p + rnd.choice(["\n", "\n\n"]) for p in parts).encode()
+        lo = rnd.randint(0, len(text))
+        hi = min(len(text), lo + rnd.randint(0, 80))
+        after = text[:lo] + rnd.choice([b"", b"new words here", b"\n\n"]) + text[hi:]
+        a, b = merkle.fingerprints([text, after])
+        found = merkle.edits(a, b)
+        assert bool(found) == (text != after)
+        out, at = b"", 0
+        for p, q, r, t in found:  # the ranges turn one text into the other
+            out += text[at:p] + after[r:t]
+            at = q
+        assert out + text[at:] == after
+        assert sum(q - p for p, q, _, _ in found) <= hi - lo + 2000
+        assert 1 - (hi - lo + 700) / max(1, len(text)) <= merkle.likeness(a, b) <= 1
+    assert merkle.likeness(*merkle.fingerprints([b"", b""])) == 1 and merkle.likeness(*merkle.fingerprints([b"", b"x"])) == 0
+
+
 def test_ring(spark):
     rows = [(d, "x" * (d % 50)) for d in range(1003)] + [(5, "xxxxx")] * 30 + [(None, None)] * 20
     got = ring.shard(table(spark, rows), part_rows=11).collect()
@@ -209,6 +345,65 @@ def test_ring(spark):
     assert sorted((r.size, r.text_crc32) for r in got) == sorted((len(t or "") + 16, zlib.crc32((t or "").encode())) for _, t in rows)
 
 
+def test_ring_settles_as_documents_one_by_one_would():
+    local = random.Random(4)
+    for _ in range(20):
+        shards = local.randint(1, 6)
+        owner = [s for _, s in ring.ring(shards, 5)]
+        counts = {a: local.randint(0, 30) for a in range(len(owner))}
+        n = sum(counts.values())
+        room = [n // shards + (s < n % shards) for s in range(shards)]
+        cuts = ring.settle(counts, owner, room)
+        left, want = list(room), {a: [] for a in counts}
+        for step in range(len(owner)):  # every document that has no place yet asks the next one
+            for a in sorted(counts):
+                while len(want[a]) < counts[a] and left[owner[(a + step) % len(owner)]]:
+                    left[owner[(a + step) % len(owner)]] -= 1
+                    want[a].append(owner[(a + step) % len(owner)])
+        for a in counts:
+            assert [s for lo, hi, s, _ in cuts[a] for _ in range(lo, hi)] == want[a]
+
+
+def test_ring_doesnt_depend_on_the_files_and_moves_few(spark):
+    rows = [(d, f"text {d}") for d in range(4000)] + [(None, "same")] * 50
+    place = lambda df, **x: sorted((r.doc_id or -1, r.shard, r.slot) for r in ring.shard(df, part_rows=300, **x).collect())
+    one = place(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shards=10)
+    assert one == place(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(2), shards=10)
+    for slack, most in ((0.0, 0.45), (0.25, 0.2)):
+        was, now = (dict((d, s) for d, s, _ in place(table(spark, rows), shards=k, slack=slack)) for k in (10, 11))
+        moved = sum(was[d] != now[d] for d in range(4000)) / 4000
+        assert moved <= most, moved
+
+
+def test_quality_site_rates_by_hand(spark):
+    rows = [("a", "x", 1, 0), ("a", "x", 0, 0), ("a", "y", 1, None), ("a", "y", 1, 1), ("b", "x", 0, 0), ("b", "x", 0, 0), ("b", "x", None, 0), (None, None, 1, 1)]
+    got, base = quality.site_rates(spark.createDataFrame(rows, "host string, path string, toxic int, low int"))
+    assert base["toxic"] == pytest.approx(4.5 / 8) and base["low"] == pytest.approx(2.5 / 8)
+
+    def strength(sites, mean):
+        own = [(k, n, mean(h)) for h, k, n in sites if n > 1]
+        rows = sum(n for _, n, _ in own)
+        between = (sum((k / n - m) ** 2 * n for k, n, m in own) - sum(m * (1 - m) for _, _, m in own)) / rows
+        return min(1e4, max(2.0, base["toxic"] * (1 - base["toxic"]) / between)) if between > 0 else 1e4
+
+    hosts = [("a", 3, 4), ("b", 0, 2), (None, 1, 1)]
+    mh = strength(hosts, lambda h: base["toxic"])
+    rate = {h: (k + mh * base["toxic"]) / (n + mh) for h, k, n in hosts}
+    paths = [("a", 1, 2), ("a", 2, 2), ("b", 0, 2), (None, 1, 1)]
+    mp = strength(paths, lambda h: rate[h])
+    want = {("a", "x"): (1, 2), ("a", "y"): (2, 2), ("b", "x"): (0, 2), (None, None): (1, 1)}
+    for r in got.collect():
+        k, n = want[r.host, r.path]
+        assert r.r_toxic == pytest.approx((k + mp * rate[r.host]) / (n + mp))
+
+
+def test_quality_leaves_null_labels_out(spark):
+    docs = spark.createDataFrame([(d, "x", "en", "s") for d in range(4)], "doc_id long, text string, lang string, source string")
+    told = spark.createDataFrame([(0, None, None), (1, None, None), (2, 0, 1), (2, 1, None), (2, None, 0), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    r = quality.judge(docs, told).first()
+    assert (r.r_toxic, r.r_low) == (pytest.approx(0.75, abs=1e-3), pytest.approx(0.75, abs=1e-3))  # one labelled row, at fault
+
+
 def test_quality(spark):
     bad = ["vile", "rotten"]
     rows, labels = [], []
@@ -280,6 +475,32 @@ def test_packing(spark):
     assert part <= 3
 
 
+def test_packer_takes_the_level_of_the_least_squares():
+    local = random.Random(2)
+    closed = []
+    p = ss_packing.Packer(12, closed.append)
+    for i in range(3000):
+        size, levels = local.randint(1, 11), p.levels.copy()
+
+        def squares(h, size=size, levels=levels):
+            n = levels.copy()
+            if h:
+                n[h] -= 1
+            if h + size < 12:
+                n[h + size] += 1
+            return int((n**2).sum())
+
+        can = [h for h in range(13 - size) if not h or levels[h]]
+        best = max(h for h in can if squares(h) == min(map(squares, can)))
+        want = levels.copy()
+        want[best] -= bool(best)
+        if best + size < 12:
+            want[best + size] += 1
+        p.add(i, np.zeros(size, dtype=np.uint32))
+        assert (p.levels == want).all()
+    assert p.count < 60
+
+
 def test_packer_bounds_open_sequences():
     closed = []
     p = ss_packing.Packer(64, closed.append, most_open=6)
@@ -324,6 +545,8 @@ def test_contamination(spark):
         assert (got[d].n_words, got[d].n_hit, list(got[d]["items"])) == (len(w), len(hit), sorted(ids))
         clean += not hit
     assert decontam.clean(docs, bench).count() == clean
+    twice = decontam.contamination(table(spark, [(1, "Aa b é"), (1, "Aa b é"), (None, "aa b " * 3000)]), table(spark, [(None, "aa b"), (5, "aa b"), (5, "aa b")], "item_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, tuple(r["items"])) for r in twice) == [(0, 6000, 6000, ("", "5")), (1, 3, 2, ("", "5")), (1, 3, 2, ("", "5"))]
     assert decontam.contamination(docs, bench.limit(0)).where("n_hit > 0").isEmpty()
 
 
@@ -353,6 +576,18 @@ def test_rans_files(spark):
         start += len(ids)
 
 
+def test_rans_files_of_equal_ids(spark, monkeypatch):
+    monkeypatch.setattr(rans, "SEGMENT_IDS", 50)
+    rows = [(None, f"null {i}") for i in range(5)] + [(3, f"three {i} " * 40) for i in range(5)] + [(1, "long " * 300)]
+    out = []
+    for df in (spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3)):
+        path = rans.new_path(spark)
+        rans.write_ids(df, path, tokenizer("byte_bpe_50k.json"))
+        out.append(sorted((r.start, r.n_tokens, r.ids_crc32, r.doc_id or -1) for r in rans.read_ids(spark, path).collect()))
+    assert out[0] == out[1] and [d for _, _, _, d in out[0]] == [1, *[3] * 5, *[-1] * 5]
+    assert all(a[0] + a[1] == b[0] for a, b in zip(out[0], out[0][1:], strict=False))
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     items = spark.createDataFrame([], "item_id long, text string")
