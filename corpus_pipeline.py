@@ -7,9 +7,6 @@ columns.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import decontam, frames, lsh_forest, pii, quality, ss_packing
@@ -53,9 +50,11 @@ ORACLE_SQL = None  # signatures, a fitted classifier and packing have no SQL for
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; each result is written to the shared folder and read again."""
-    docs = frames.load(spark, sf_dir, "documents")
+    docs, before = frames.load(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = os.path.join(frames.shared_dir(spark), f"pipeline-{uuid.uuid4().hex}", name)
+        path = frames.new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            frames.delete(spark, before)  # what the stage has read
+        docs, before = spark.read.parquet(path), path
     return docs
