@@ -7,31 +7,73 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text
 
-# Hosts of providers and what they hold.
-PROVIDERS = [
-    ("github.com", "github", "repository"),
-    ("gitlab.com", "gitlab", "repository"),
-    ("huggingface.co", "huggingface", "model"),
-    ("kaggle.com", "kaggle", "dataset"),
-    ("zenodo.org", "zenodo", "dataset"),
-    ("figshare.com", "figshare", "dataset"),
-    ("paperswithcode.com", "paperswithcode", "page"),
-    ("bitbucket.org", "bitbucket", "repository"),
-]
-
-
-def classify_url(url: Column) -> Column:
-    """struct(provider, artifact_type, owner, name); null for PDFs and unknown hosts. Ordered rules."""
-    host = text.url_host(url)
-    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/?([^?#]*)", 1)
-    part = lambda i: F.nullif(F.coalesce(F.get(F.split(path, "/"), F.lit(i)), F.lit("")), F.lit(""))
-    out = None
-    for domain, provider, kind in PROVIDERS:
-        own = text.in_domain(host, [domain])
-        artifact = F.when((part(0) == "datasets") | (part(0) == "spaces"), F.when(part(0) == "datasets", "dataset").otherwise("demo")).otherwise(kind) if provider == "huggingface" else F.lit(kind)
-        value = F.struct(F.lit(provider).alias("provider"), artifact.alias("artifact_type"), part(0).alias("owner"), part(1).alias("name"))
-        out = F.when(own, value) if out is None else out.when(own, value)
-    return F.when(F.lower(path).endswith(".pdf"), None).otherwise(out)
+# Hosts of code repositories and what a repository there is called.
+REPOSITORIES = [("github.com", "github"), ("gitlab.com", "gitlab"), ("bitbucket.org", "bitbucket"), ("codeberg.org", "codeberg")]
+# First path segments that are no owner.
+GITHUB_RESERVED = ["topics", "features", "marketplace", "collections", "search", "orgs", "apps", "pricing"]
+HUGGINGFACE_RESERVED = ["api", "docs", "datasets", "spaces", "models", "papers", "blog", "pricing", "settings"]
+# Hosts of papers and publishers, which are no artifacts of a generic kind.
+BIBLIOGRAPHIC = """
+    arxiv.org doi.org dx.doi.org openalex.org semanticscholar.org api.semanticscholar.org crossref.org ncbi.nlm.nih.gov
+    pubmed.ncbi.nlm.nih.gov aclanthology.org openreview.net api.openreview.net api2.openreview.net portal.acm.org dl.acm.org acm.org
+    springerlink.com link.springer.com ieeexplore.ieee.org proceedings.neurips.cc papers.nips.cc proceedings.mlr.press
+    openaccess.thecvf.com w3.org
+""".split()
+
+
+def classify_url(url: Column, relation: Column | None = None) -> Column:
+    """struct(artifact_type, provider, normalized_url, external_id, owner, name); null where no rule holds.
+
+    Ordered rules of host and path; a repository needs owner and name, and reserved owners are none.  A URL of
+    another host is generic, and only if its relation is known, it is no PDF and no page of a paper.
+    """
+    relation = F.lit("unknown") if relation is None else F.coalesce(relation, F.lit("unknown"))
+    host = F.regexp_replace(F.lower(F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), r"^www\.", "")
+    path = F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#;]*)", 1)
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    part, n = (lambda i: F.get(parts, F.lit(i))), F.size(parts)
+    none = F.lit(None).cast("string")
+
+    def found(kind, provider: str, at: Column, external: Column, owner: Column, name: Column) -> Column:
+        kind = kind if isinstance(kind, Column) else F.lit(kind)
+        return F.struct(kind.alias("artifact_type"), F.lit(provider).alias("provider"), at.alias("normalized_url"), external.alias("external_id"), owner.alias("owner"), name.alias("name"))
+
+    def joined(*xs: Column) -> Column:
+        return F.concat_ws("/", *xs)
+
+    rules = []
+    repo = F.regexp_replace(part(1), r"\.git$", "")
+    for site, provider in REPOSITORIES:
+        ok = (host == site) & (n >= 2)
+        if provider == "github":
+            ok = ok & (repo != "") & ~F.lower(part(0)).isin(GITHUB_RESERVED)
+        rules.append((ok, found(f"{provider}_repository", provider, joined(F.lit(f"https://{site}"), part(0), repo), joined(part(0), repo), part(0), repo)))
+    hub = F.lit("https://huggingface.co")
+    for first, kind in (("datasets", "huggingface_dataset"), ("spaces", "huggingface_space")):
+        rules.append(((host == "huggingface.co") & (n >= 3) & (part(0) == first), found(kind, "huggingface", joined(hub, part(0), part(1), part(2)), joined(part(0), part(1), part(2)), part(1), part(2))))
+    rules.append(((host == "huggingface.co") & (n >= 2) & ~part(0).isin(HUGGINGFACE_RESERVED), found("huggingface_model", "huggingface", joined(hub, part(0), part(1)), joined(part(0), part(1)), part(0), part(1))))
+    video = F.regexp_extract(F.trim(url), r"[?&]v=([^&#]+)", 1)
+    watch = lambda v: F.concat(F.lit("https://www.youtube.com/watch?v="), v)
+    rules.append((host.isin("youtube.com", "m.youtube.com") & (part(0) == "watch") & (video != ""), found("youtube_video", "youtube", watch(video), video, none, video)))
+    rules.append(((host == "youtu.be") & (n >= 1), found("youtube_video", "youtube", watch(part(0)), part(0), none, part(0))))
+    rules.append(((host == "kaggle.com") & (n >= 3) & (part(0) == "datasets"), found("kaggle_dataset", "kaggle", joined(F.lit("https://kaggle.com/datasets"), part(1), part(2)), joined(part(1), part(2)), part(1), part(2))))
+    rules.append(((host == "zenodo.org") & (n >= 2) & part(0).isin("record", "records"), found("zenodo_artifact", "zenodo", joined(F.lit("https://zenodo.org/records"), part(1)), part(1), none, part(1))))
+    plain = F.concat(F.lit("https://"), host, F.regexp_replace(path, "/+$", ""))
+    last = F.when(n > 0, F.element_at(parts, -1))
+    rules.append((host.endswith("figshare.com"), found("figshare_artifact", "figshare", plain, plain, none, last)))
+    rules.append((F.lower(path).endswith(".pdf") | (host == "") | (relation == "unknown") | host.isin(BIBLIOGRAPHIC), None))
+    kind = F.when(relation.isin("code", "dataset", "model"), F.concat(F.lit("generic_"), relation, F.lit("_url"))).otherwise("generic_artifact_url")
+    other = found(kind, "generic", plain, plain, none, F.coalesce(last, host))
+    out = F.when(*rules[0])
+    for test, value in rules[1:]:
+        out = out.when(F.coalesce(test, F.lit(False)), value)
+    return out.otherwise(other)
+
+
+def relation_of_type(artifact_type: Column, fallback: Column) -> Column:
+    """The relation that a kind of artifact stands for."""
+    t = artifact_type
+    return F.when(t.contains("dataset"), "dataset").when(t.contains("model"), "model").when(t.contains("space") | t.contains("youtube") | t.contains("video"), "demo").when(t.contains("repository") | (t == "generic_code_url"), "code").otherwise(F.coalesce(fallback, F.lit("unknown")))
 
 
 def trusted(kind: Column, confidence: Column, field: Column, host: Column, types: list[str], fields: list[str], denied: list[str]) -> Column:

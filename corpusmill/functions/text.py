@@ -31,14 +31,34 @@ def edge_id(*parts: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 1, 20)
 
 
+# Schemes whose URLs have a host part even where it is empty.
+HOSTED = ["http", "https", "ftp", "sftp", "file"]
+
+
+def _decoded(c: Column) -> Column:
+    """Form decoding; what isn't an escape stays."""
+    return F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))
+
+
+def _encoded(c: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonicalize_url(c: Column) -> Column:
-    """Lower-case scheme and host, no trailing slash, sorted query, no fragment."""
-    c = F.trim(c)
-    head = F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
-    path = F.regexp_replace(F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"/+$", "")
-    query = F.regexp_extract(c, r"^[^?#]*\?([^#]*)", 1)
-    pairs = F.array_join(F.array_sort(F.split(query, "&")), "&")
-    return F.concat(head, path, F.when(query != "", F.concat(F.lit("?"), pairs)).otherwise(""))
+    """Lower-case scheme (https if there is none) and host; no trailing slash but the root's; query pairs sorted and encoded anew; no fragment or parameters."""
+    c = F.regexp_replace(F.trim(c), r"#.*$", "")
+    scheme = F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    rest = F.when(scheme != "", F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:", "")).otherwise(c)
+    host = F.lower(F.regexp_extract(rest, r"^//([^/?]*)", 1))
+    path = F.regexp_replace(F.regexp_extract(F.regexp_replace(rest, r"^//[^/?]*", ""), r"^([^?]*)", 1), r";[^/]*$", "")
+    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, r"/+$", ""))
+    query = F.regexp_extract(rest, r"^[^?]*\?(.*)$", 1)
+    pair = lambda x: F.struct(_decoded(F.regexp_extract(x, "^([^=]*)", 1)).alias("k"), _decoded(F.regexp_extract(x, "^[^=]*=(.*)$", 1)).alias("v"))
+    pairs = F.array_sort(F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), pair))
+    query = F.array_join(F.transform(pairs, lambda x: F.concat(_encoded(x["k"]), F.lit("="), _encoded(x["v"]))), "&")
+    scheme = F.when(scheme == "", "https").otherwise(scheme)
+    place = F.when((host != "") | (scheme.isin(HOSTED) & ~path.startswith("//")), F.concat(F.lit("//"), host, F.when((path != "") & ~path.startswith("/"), "/").otherwise(""), path)).otherwise(path)
+    return F.concat(scheme, F.lit(":"), place, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
 def url_host(c: Column) -> Column:

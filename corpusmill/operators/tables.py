@@ -88,8 +88,10 @@ def checks(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("violations")) for k in rules])).alias("x")).select("x.rule", "x.violations")
 
 
-def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, most: int = 100) -> DataFrame:
-    return df.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, most)))
+def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    if limit < 1 or offset < 0:
+        raise ValueError("a page has at least one row and no negative offset")
+    return df.orderBy(*order).offset(offset).limit(limit)
 
 
 def optional(df: DataFrame, *tests: Column | None) -> DataFrame:
@@ -124,3 +126,14 @@ def hash_sample(df: DataFrame, stratum: str, key: str, seed: str, n: int) -> Dat
 
 def argmax_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def duplicates(df: DataFrame, key: str) -> DataFrame:
+    """(rule, violations): rows beyond the first of each key."""
+    return df.agg((F.count(F.lit(1)) - F.countDistinct(key)).alias("violations")).select(F.lit("duplicate_ids").alias("rule"), "violations")
+
+
+def row_parity(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(rule, violations): by how many rows two tables differ."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return n(a, "_a").join(n(b, "_b")).select(F.lit("same_rows").alias("rule"), F.abs(F.col("_a") - F.col("_b")).alias("violations"))

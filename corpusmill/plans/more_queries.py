@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import links, scores, text
+from corpusmill.operators import evaluation
 from corpusmill.operators import retrieval as r
 from corpusmill.operators import tables as ops
 from corpusmill.plans.registry import Tables, query
@@ -24,11 +25,35 @@ def _urls(t: Tables):
     return t.part.select("p_partkey", url.alias("url"), (F.col("p_retailprice") / 2000).alias("confidence"), F.when(F.col("p_size") > 25, "code_url").otherwise("abstract").alias("field"))
 
 
-@query(f"""with {_URLS} select p_partkey, case when p_partkey % 6 = 0 then 'github' when p_partkey % 6 in (1, 2) then 'huggingface' when p_partkey % 6 = 3 then 'zenodo' end as provider, case when p_partkey % 6 = 0 then 'repository' when p_partkey % 6 in (1, 3) then 'dataset' when p_partkey % 6 = 2 then 'model' end as artifact_type,
-case when p_partkey % 6 = 0 then 'o' || (p_partkey % 50) when p_partkey % 6 = 1 then 'datasets' when p_partkey % 6 = 2 then 'm' when p_partkey % 6 = 3 then 'record' end as owner from u""")
+# URLs, and what the rules make of them.
+_CASES = [
+    ("https://github.com/owner/repo.git?tab=x", "github_repository", "https://github.com/owner/repo", "owner"),
+    ("https://github.com/search/x", None, None, None),
+    ("https://github.com/topics/x", None, None, None),
+    ("https://www.huggingface.co/datasets/ns/data", "huggingface_dataset", "https://huggingface.co/datasets/ns/data", "ns"),
+    ("https://huggingface.co/spaces/ns/demo/tree", "huggingface_space", "https://huggingface.co/spaces/ns/demo", "ns"),
+    ("https://huggingface.co/ns/model", "huggingface_model", "https://huggingface.co/ns/model", "ns"),
+    ("https://www.youtube.com/watch?v=abc&t=3", "youtube_video", "https://www.youtube.com/watch?v=abc", None),
+    ("https://youtu.be/abc", "youtube_video", "https://www.youtube.com/watch?v=abc", None),
+    ("https://www.kaggle.com/datasets/me/set", "kaggle_dataset", "https://kaggle.com/datasets/me/set", "me"),
+    ("https://zenodo.org/record/77/files", "zenodo_artifact", "https://zenodo.org/records/77", None),
+    ("https://x.figshare.com/articles/1/", "figshare_artifact", "https://x.figshare.com/articles/1", None),
+    ("https://codeberg.org/a/b", "codeberg_repository", "https://codeberg.org/a/b", "a"),
+    ("https://other.net/code/", "generic_code_url", "https://other.net/code", None),
+    ("https://other.net/paper.PDF", None, None, None),
+    ("https://dl.acm.org/doi/1", None, None, None),
+]
+
+
+def _sql_case(column: int) -> str:
+    return f"case p_partkey % {len(_CASES)} " + " ".join(f"when {i} then " + ("null" if c[column] is None else f"'{c[column]}'") for i, c in enumerate(_CASES)) + " end"
+
+
+@query(f"select p_partkey, {_sql_case(1)} as artifact_type, {_sql_case(2)} as normalized_url, {_sql_case(3)} as owner from part")
 def b16_classify_url(t: Tables):
-    c = _urls(t).withColumn("c", links.classify_url(F.col("url")))
-    return c.select("p_partkey", "c.provider", "c.artifact_type", "c.owner")
+    url = F.element_at(F.array(*[F.lit(c[0]) for c in _CASES]), (F.col("p_partkey") % len(_CASES) + 1).cast("int"))
+    c = t.part.withColumn("c", links.classify_url(url, F.when(url.contains("other.net") | url.contains("acm.org"), "code")))
+    return c.select("p_partkey", "c.artifact_type", "c.normalized_url", "c.owner")
 
 
 @query(f"""with {_URLS} select p_partkey, case field when 'code_url' then 'code' end as relation, (p_partkey % 6 in (0, 3) and confidence >= 0.65) or (p_partkey % 6 = 5 and confidence >= 0.9 and field = 'code_url' and p_partkey % 4 <> 0) as trusted from u""")
@@ -167,7 +192,11 @@ def h13_candidate_dedup(t: Tables):
 @query("""select user_id % 20 as key, count(*) as n, 1 as fresh from events group by 1""")
 def j2_j5_change_stream(t: Tables):
     """The events' digests as a stream, taken batch by batch: how often each key came, and how often as new."""
-    base = t._spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/corpusmill-{os.getpid()}"
+    base = t._spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not t._spark.sparkContext.master.startswith("local") or "cluster" in t._spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
     at = f"{base}/stream-{uuid.uuid4().hex}"
     t.events.select((F.col("user_id") % 20).alias("key"), F.md5(F.col("event_type")).alias("digest")).write.parquet(f"{at}/in")
     changes.run_once(changes.changes(changes.read_files(t._spark, f"{at}/in", "key long, digest string", 100)), f"{at}/out", f"{at}/checkpoint")
@@ -212,18 +241,17 @@ def m6_golden_metrics(t: Tables):
     return got.select("query_id", F.round(F.col("hits") / F.col("n"), 6).alias("precision"), F.round(F.least(F.col("hits") / F.greatest("relevant", F.lit(1)), F.lit(1.0)), 6).alias("recall"), "hit")
 
 
-@query("""with v as (select w / 10.0 as weight, k as candidate_k, r as rank from (select unnest([3, 4, 5]) as w), (select unnest([50, 200]) as k), (select unnest([true, false]) as r)) select weight, candidate_k, rank, round(0.4 * weight + 0.4 * candidate_k / 200.0 + case when rank then 0.2 else 0 end, 6) as composite from v""")
-def m9_m10_variant_grid(t: Tables):
-    grid = t._spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in (0.3, 0.4, 0.5)])).alias("weight")).withColumn("candidate_k", F.explode(F.array(F.lit(50), F.lit(200)))).withColumn("rank", F.explode(F.array(F.lit(True), F.lit(False))))
-    return grid.withColumn("composite", F.round(0.4 * F.col("weight") + 0.4 * F.col("candidate_k") / 200.0 + F.when(F.col("rank"), 0.2).otherwise(0.0), 6))
-
-
-@query("""select user_id, count(distinct h) = 1 as deterministic, round(max(s) - min(s), 6) as spread from (select user_id, md5(string_agg(event_id::varchar, ',' order by value desc, event_id)) as h, sum(value) as s from events, (select unnest([1, 2, 3]) as run) group by user_id, run) group by 1""")
+@query("""with r as (select 1 as run, user_id, event_id, value as score, value as o, event_id as tie from events union all select 2, user_id, event_id, value, value, -event_id from events union all select 3, user_id, event_id, value, value + (event_id % 2) / 1000.0, event_id from events),
+k as (select *, row_number() over (partition by run, user_id order by o desc, tie) as rank from r), l as (select run, user_id, string_agg(event_id::varchar, ',' order by rank) as ids from k where rank <= 10 group by 1, 2), s as (select user_id, max(d) as d from (select user_id, event_id, max(o) - min(o) as d from k where rank <= 10 group by 1, 2) group by 1)
+select user_id as query_id, count(*) as runs, count(distinct ids) = 1 as deterministic, round(max(d), 6) as spread from l join s using (user_id) group by 1""")
 def m17_determinism(t: Tables):
-    runs = t.events.withColumn("run", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("v"), "event_id"))), lambda x: x["event_id"].cast("string")), ",")
-    one = runs.groupBy("user_id", "run").agg(F.md5(ids).alias("h"), F.sum("value").alias("s"))
-    return one.groupBy("user_id").agg((F.countDistinct("h") == 1).alias("deterministic"), F.round(F.max("s") - F.min("s"), 6).alias("spread"))
+    """Three independent runs: one breaks ties otherwise, one scores otherwise."""
+    def run(name: int, score, tie):
+        rows = t.events.select(F.lit(name).alias("run"), F.col("user_id").alias("query_id"), F.col("event_id").alias("key"), score.alias("score"))
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), tie)))
+
+    runs = [run(1, F.col("value"), F.asc("key")), run(2, F.col("value"), F.desc("key")), run(3, F.col("value") + F.col("event_id") % 2 / 1000.0, F.asc("key"))]
+    return evaluation.determinism(runs[0].unionByName(runs[1]).unionByName(runs[2]), 10)
 
 
 @query("""select reason, count(*) as n from (select unnest(list_filter([case when s_acctbal < 0 then 'negative' end, case when s_nationkey % 5 = 0 then 'nation' end], lambda x: x is not null)) as reason from supplier) group by 1""")
@@ -285,16 +313,16 @@ def r11_collection_counts(t: Tables):
     return t.customer.where("c_nationkey = 3").join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("items"))
 
 
-@query(None)
+@query("""with s as (select q.vec_id as query_id, v.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: cast(v.embedding[i] as double) * cast(q.embedding[i] as double))), 6) as score from embeddings v, embeddings q where q.vec_id % 100 = 0) select query_id, vec_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10""")
 def k11_similar_by_text(t: Tables):
     """Including the query itself."""
     v = t.embeddings.select("vec_id", "embedding")
-    return r.exact_knn(v, "vec_id", "embedding", v.where("vec_id = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10, include_self=True)
+    return r.exact_knn(v, "vec_id", "embedding", v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10, include_self=True).drop("final")
 
 
-@query("""select source, doc_id, h as selection_hash, n as rank from (select source, doc_id, sha256('map|' || doc_id) as h, row_number() over (partition by source order by sha256('map|' || doc_id)) as n from documents where doc_id % 2 = 1) where n <= 2""")
+@query("""select source, doc_id, h as selection_hash, n as rank from (select source, doc_id, sha256('map|' || doc_id) as h, row_number() over (partition by source order by sha256('map|' || doc_id)) as n from documents) where n <= 2""")
 def k20_stratified_sample(t: Tables):
-    return ops.hash_sample(t.documents.where("doc_id % 2 = 1").select("source", "doc_id"), "source", "doc_id", "map", 2)
+    return ops.hash_sample(t.documents.select("source", "doc_id"), "source", "doc_id", "map", 2)
 
 
 @query("""select doc_id, round(case when quality is null then 0 else 0.85 * (quality + 1) / 2.0 + 0.10 * least(n_chars / 10000.0, 1) end, 6) as adjusted from documents left join labels using (doc_id)""")

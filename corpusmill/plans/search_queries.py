@@ -11,34 +11,34 @@ from corpusmill.operators import retrieval as r
 from corpusmill.operators import tables as ops
 from corpusmill.plans.registry import Tables, query
 
-_BM25 = """with q as (select item_id as query_id, substr(text, 1, 60) as query from benchmark where item_id < 5),
+_BM25 = """with q as (select item_id as query_id, text as query from benchmark where item_id % 100 = 0),
 qt as (select query_id, term, count(*) as times from (select query_id, unnest(regexp_extract_all(lower(query), '[\\p{L}\\p{N}_]+')) as term from q) group by 1, 2),
 dt as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) as term from documents), p as (select doc_id, term, count(*) as tf from dt where term in (select term from qt) group by 1, 2),
 l as (select doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) as len from documents), c as (select count(*) as n, avg(len) as avg from l), df as (select term, count(*) as df from p group by 1),
 s as (select query_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg))) as score from p join df using (term) join qt using (term) join l using (doc_id), c group by 1, 2),
 a as (select q.query_id, d.doc_id, round(coalesce(score, 0), 6) as score from q cross join documents d left join s on s.query_id = q.query_id and s.doc_id = d.doc_id),
 lex as (select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from a) where rank <= 20)"""
-_KNN = """v as (select vec_id, embedding as e from embeddings), kq as (select vec_id as query_id, e as query from v where vec_id < 5),
+_KNN = """v as (select vec_id, embedding as e from embeddings), kq as (select vec_id as query_id, e as query from v where vec_id % 100 = 0),
 ks as (select query_id, vec_id as doc_id, round(list_sum(list_transform(range(1, 65), lambda i: cast(e[i] as double) * cast(query[i] as double))), 6) as score from v, kq where vec_id <> query_id),
 den as (select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from ks) where rank <= 20)"""
 _HYBRID = """ln as (select query_id, doc_id, case when max(score) over w - min(score) over w < 1e-12 then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as s from lex window w as (partition by query_id)),
 dn as (select query_id, doc_id, case when max(score) over w - min(score) over w < 1e-12 then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as s from den window w as (partition by query_id)),
 h as (select coalesce(ln.query_id, dn.query_id) as query_id, coalesce(ln.doc_id, dn.doc_id) as doc_id, coalesce(ln.s, 0) as lexical, coalesce(dn.s, 0) as dense from ln full join dn on ln.query_id = dn.query_id and ln.doc_id = dn.doc_id)"""
-_QRELS = """qrels as (select q.query_id, l.doc_id, quality + case when l.doc_id % 5 = q.query_id then 1 else 0 end as grade from labels l, (select item_id as query_id from benchmark where item_id < 5) q where l.doc_id % 7 = q.query_id % 7)"""
+_QRELS = """qrels as (select q.query_id, l.doc_id, quality + case when l.doc_id % 5 = q.query_id then 1 else 0 end as grade from labels l, (select item_id as query_id from benchmark where item_id % 100 = 0) q where l.doc_id % 7 = q.query_id % 7)"""
 
 
 def _lexical(t: Tables):
-    queries = t.benchmark.where("item_id < 5").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    queries = t.benchmark.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return r.bm25(t.documents, "doc_id", "text", queries, 20)
 
 
 def _dense(t: Tables):
     v = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
-    return r.exact_knn(v, "doc_id", "embedding", v.where("doc_id < 5").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query")), 20)
+    return r.exact_knn(v, "doc_id", "embedding", v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query")), 20)
 
 
 def _qrels(t: Tables):
-    q = F.broadcast(t.benchmark.where("item_id < 5").select(F.col("item_id").alias("query_id")))
+    q = ops.small(t.benchmark.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id")))
     return t.labels.join(q, F.col("doc_id") % 7 == F.col("query_id") % 7).select("query_id", "doc_id", (F.col("quality") + (F.col("doc_id") % 5 == F.col("query_id")).cast("int")).alias("grade"))
 
 
@@ -67,9 +67,9 @@ def k9_db_lexical(t: Tables):
 @query(f"with {_KNN}, f as (select query_id, doc_id, score, round(0.85 * score + 0.10 * (doc_id % 10) / 10 + 0.05 * (doc_id % 3) / 3, 6) as adjusted from ks where score >= 0.1) select query_id, doc_id, score, adjusted, rank from (select *, row_number() over (partition by query_id order by adjusted desc, doc_id) as rank from f) where rank <= 10")
 def k10_b32_similar(t: Tables):
     v = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
-    near = r.exact_knn(v, "doc_id", "embedding", v.where("doc_id < 5").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query")), 1 << 30).drop("rank").where("score >= 0.1")
-    adjusted = F.round(0.85 * F.col("score") + 0.10 * (F.col("doc_id") % 10) / 10 + 0.05 * (F.col("doc_id") % 3) / 3, 6)
-    return ops.argmax_n(near.withColumn("adjusted", adjusted), ["query_id"], [F.desc("adjusted"), F.asc("doc_id")], 10)
+    bonus = 0.10 * (F.col("doc_id") % 10) / 10 + 0.05 * (F.col("doc_id") % 3) / 3
+    asked = v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query"))
+    return r.exact_knn(v, "doc_id", "embedding", asked, 10, weight=0.85, bonus=bonus, least=0.1).withColumnRenamed("final", "adjusted")
 
 
 _CENTROID = """c as (select label, i, avg(cast(embedding[i] as double)) as x from embeddings, (select unnest(range(1, 65)) as i) group by 1, 2)"""
@@ -83,7 +83,7 @@ def _centroids(t: Tables):
 @query(f"with {_CENTROID}, d as (select vec_id, e.label, sqrt(sum((cast(embedding[i] as double) - x) * (cast(embedding[i] as double) - x))) as distance from embeddings e join c on c.label = e.label group by 1, 2) select vec_id, label, round(distance, 6) as distance, row_number() over (partition by label order by round(distance, 6), vec_id) as rank from d")
 def k14_k15_f7_assignment(t: Tables):
     gap = lambda v, c: F.transform(F.arrays_zip(v.alias("a"), c.alias("b")), lambda p: p["a"].cast("double") - p["b"])
-    rows = t.embeddings.join(F.broadcast(_centroids(t)), "label").withColumn("g", gap(F.col("embedding"), F.col("center")))
+    rows = t.embeddings.join(ops.small(_centroids(t)), "label").withColumn("g", gap(F.col("embedding"), F.col("center")))
     rows = rows.select("vec_id", "label", F.round(F.sqrt(scores.dot(F.col("g"), F.col("g"))), 6).alias("distance"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("distance", "vec_id")))
 
@@ -170,8 +170,11 @@ def m11_pareto(t: Tables):
 
 @query("""with a as (select user_id, list(event_id order by value desc, event_id)[1:10] as x from events group by 1), b as (select user_id, list(event_id order by ts desc, event_id)[1:10] as y from events group by 1) select user_id, len(list_intersect(x, y)) / 10.0 as overlap, x = y as same_order from a join b using (user_id)""")
 def m15_overlap(t: Tables):
-    ids = lambda order: F.transform(F.slice(F.array_sort(F.collect_list(order)), 1, 10), lambda s: s["event_id"])
-    rows = t.events.groupBy("user_id").agg(ids(F.struct((-F.col("value")).alias("k"), "event_id")).alias("x"), ids(F.struct((-F.unix_micros(F.col("ts").cast("timestamp"))).alias("k"), "event_id")).alias("y"))
+    def first(order, name: str):
+        near = ops.argmax_n(t.events, ["user_id"], [order, F.asc("event_id")], 10)
+        return near.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "event_id"))), lambda s: s["event_id"]).alias(name))
+
+    rows = first(F.desc("value"), "x").join(first(F.desc("ts"), "y"), "user_id")
     return rows.select("user_id", (F.size(F.array_intersect("x", "y")) / 10.0).alias("overlap"), (F.col("x") == F.col("y")).alias("same_order"))
 
 
@@ -194,11 +197,11 @@ def n10_threshold_grid(t: Tables):
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("threshold"), *[F.col(f"{m}{k}").alias(m) for m in ("tp", "fp", "fn")]) for k in grid])).alias("x")).select("x.*")
 
 
-@query("""with w as (select doc_id, unnest(range(1, length(text))) as pos, text from documents where lang = 'en' and n_chars < 1500) select doc_id, pos - 1 as char_start, pos + 3 as char_end, 'sha256:' || substr(sha256(doc_id || '|' || (pos - 1) || '|' || 'that'), 1, 32) as mention_id from w where lower(substr(text, pos, 4)) = 'that' and not regexp_matches(substr(text, pos + 4, 1), '[\\p{L}\\p{N}_]') and (pos = 1 or not regexp_matches(substr(text, pos - 1, 1), '[\\p{L}\\p{N}_]'))""")
+@query("""with w as (select doc_id, unnest(range(1, length(text))) as pos, text from documents) select doc_id, pos - 1 as char_start, pos + 3 as char_end, 'sha256:' || substr(sha256(doc_id || '|' || (pos - 1) || '|' || 'that'), 1, 32) as mention_id from w where lower(substr(text, pos, 4)) = 'that' and not regexp_matches(substr(text, pos + 4, 1), '[\\p{L}\\p{N}_]') and (pos = 1 or not regexp_matches(substr(text, pos - 1, 1), '[\\p{L}\\p{N}_]'))""")
 def n1_n3_literal_spans(t: Tables):
     """Places of a word by the lengths of the pieces between its matches; native, in code points."""
     pattern = r"(?i)(?<![\p{L}\p{N}_])that(?![\p{L}\p{N}_])"
-    docs = t.documents.where("lang = 'en' and n_chars < 1500")
+    docs = t.documents
     gaps = F.split("text", pattern, -1)
     ends = docs.select("doc_id", F.posexplode(F.slice(gaps, 1, F.size(gaps) - 1)).alias("i", "gap"))
     w = Window.partitionBy("doc_id").orderBy("i")

@@ -14,8 +14,9 @@ def b1_normalize_text(t: Tables):
     return t.documents.select("doc_id", F.md5(text.normalize_text(F.col("text"))).alias("norm_md5"))
 
 
-@query("""select page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') ||
-case when contains(url, '?') and regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) <> '' then '?' || array_to_string(list_sort(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&')), '&') else '' end as canonical from pages""")
+@query("""with u as (select page_id, regexp_replace(trim(url), '#.*$', '') as u from pages), p as (select page_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as scheme, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)) as host, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) as path, regexp_extract(u, '\\?(.*)$', 1) as q from u),
+k as (select page_id, string_agg(k || '=' || v, '&' order by k, v) as q from (select page_id, split_part(x, '=', 1) as k, case when contains(x, '=') then substr(x, strpos(x, '=') + 1) else '' end as v from (select page_id, unnest(string_split(q, '&')) as x from p) where x <> '') group by 1)
+select page_id, scheme || '://' || host || case when path = '/' then path else regexp_replace(path, '/+$', '') end || case when k.q <> '' then '?' || k.q else '' end as canonical from p left join k using (page_id)""")
 def b2_canonical_url(t: Tables):
     return t.pages.select("page_id", text.canonicalize_url(F.col("url")).alias("canonical"))
 
@@ -25,9 +26,9 @@ def b3_content_hash(t: Tables):
     return t.documents.select("doc_id", text.content_hash(F.col("source"), F.col("text")).alias("content_hash"), text.stable_hash(F.col("source")).alias("source_id"))
 
 
-@query("""select doc_id, regexp_replace(trim(regexp_replace(lower(substr(text, 1, 80)), '\\s+', ' ', 'g')), '[^\\p{L}\\p{N}_\\s]', '', 'g') as title_key from documents""")
+@query("""select doc_id, regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[^\\p{L}\\p{N}_\\s]', '', 'g') as title_key from documents""")
 def b4_title_key(t: Tables):
-    return t.documents.select("doc_id", text.title_key(F.substring("text", 1, 80)).alias("title_key"))
+    return t.documents.select("doc_id", text.title_key(F.col("text")).alias("title_key"))
 
 
 @query("""with r as (select o_orderkey, case o_orderkey % 5 when 0 then 'https://doi.org/10.1000/ab.' || o_custkey || '.' when 1 then 'doi:10.1000/X' || o_custkey when 2 then '10.1000/a; 10.1000/b' when 3 then null else 'none' end as raw from orders),
@@ -74,9 +75,9 @@ def b33_tokens(t: Tables):
     return ops.top_counts(t.documents.select(F.explode(text.tokens(F.col("text"))).alias("term")), "term", 200)
 
 
-@query("""with w as (select doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9\\-]{2,}'), lambda x: x not in ('the','and','for','with','that','this','from','are','was','its','our','can','has','have','into','using','based','via','between','of','in','on','to','is','by','as','an','or','we'))) as term from documents where lang = 'en') select term, count(*) as n, count(distinct doc_id) as docs from w group by term having count(*) >= 20""")
+@query("""with w as (select doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9\\-]{2,}'), lambda x: x not in ('the','and','for','with','that','this','from','are','was','its','our','can','has','have','into','using','based','via','between','of','in','on','to','is','by','as','an','or','we'))) as term from documents) select term, count(*) as n, count(distinct doc_id) as docs from w group by term having count(*) >= 20""")
 def b34_topic_tokens(t: Tables):
-    words = t.documents.where("lang = 'en'").select("doc_id", F.explode(text.topic_tokens(F.col("text"))).alias("term"))
+    words = t.documents.select("doc_id", F.explode(text.topic_tokens(F.col("text"))).alias("term"))
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs")).where("n >= 20")
 
 
@@ -137,12 +138,12 @@ def b25_version_pick(t: Tables):
     return t.orders.groupBy("o_custkey").agg(F.max(v).alias("best_version"), F.max_by("o_orderkey", F.struct(v, "o_orderkey")).alias("chosen"), F.min("o_orderdate").alias("first_seen"))
 
 
-@query("""select doc_id, array_to_string(list_transform(range(1, least(4, len(string_split(substr(text, 1, 60), ' '))) + 1), lambda i: string_split(substr(text, 1, 60), ' ')[i]), ' ') as head from documents""")
+@query("""select doc_id, md5(text) as text_md5 from documents""")
 def b24_abstract_from_index(t: Tables):
-    words = F.slice(F.split(F.substring("text", 1, 60), " "), 1, 4)
+    words = F.split("text", " ")
     placed = t.documents.select("doc_id", F.posexplode(words).alias("at", "word")).groupBy("doc_id", "word").agg(F.sort_array(F.collect_list("at")).alias("at"))
     index = placed.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
-    return index.select("doc_id", text.abstract_of(F.col("index")).alias("head"))
+    return index.select("doc_id", F.md5(text.abstract_of(F.col("index"))).alias("text_md5"))
 
 
 @query("""select conv_id, string_agg(role, ',' order by turn) as roles, count(*) as turns from (select conv_id, role, min(turn) as turn from conversations group by 1, 2) group by 1""")
