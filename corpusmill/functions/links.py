@@ -90,3 +90,9 @@ def reference_type(value: Column, explicit: Column | None = None) -> Column:
         return inferred
     e = F.lower(explicit)
     return F.when(e.isin("doi", "crossref"), "doi").when(e.isin("arxiv", "arxiv_id"), "arxiv").when(e.isin("openalex", "openalex_id"), "openalex").when(e.isin("s2", "semantic_scholar", "corpusid"), "s2").otherwise(inferred)
+
+
+def feature_trusted(relation: Column, confidence: Column, artifact_type: Column, relations: list[str], bars: dict[str, float], bar: float) -> Column:
+    """What counts as a feature: a listed relation, and the confidence that its type asks for. Hosts don't matter here."""
+    needed = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in bars.items() for x in kv]), artifact_type), F.lit(bar))
+    return F.coalesce(relation.isin(relations) & (confidence >= needed), F.lit(False))

@@ -175,3 +175,20 @@ def preprint_flag(has_published: Column, any_flag: Column, publication_type: Col
     t = F.lower(F.trim(publication_type))
     by_type = F.when(t.isin("preprint", "working paper"), True).when(t.isin("article", "journal-article", "journal article", "conference", "proceedings", "book-chapter"), False)
     return F.when(has_published, False).otherwise(F.coalesce(any_flag, by_type))
+
+
+def joined_text(sep: str, *parts: Column) -> Column:
+    """The parts that aren't empty, white space as single spaces."""
+    return F.concat_ws(sep, *[F.nullif(text.normalize_text(p.cast("string")), F.lit("")) for p in parts])
+
+
+def compact_json(**parts: Column) -> Column:
+    """A JSON object of what isn't null."""
+    return F.to_json(F.struct(*[c.alias(k) for k, c in parts.items()]))
+
+
+def phrase_label(phrase: Column, rewrites: dict[str, str], bad: list[str]) -> Column:
+    """A phrase as a label: rewritten where that is known; null for one with a bad word or a number."""
+    words = F.split(F.lower(phrase), " ")
+    poor = F.exists(words, lambda w: w.isin(bad) | w.rlike("^[0-9]+$"))
+    return F.when(~poor, F.coalesce(_lookup(F.lower(phrase), rewrites), phrase))

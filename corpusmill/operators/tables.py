@@ -137,3 +137,20 @@ def row_parity(a: DataFrame, b: DataFrame) -> DataFrame:
     """(rule, violations): by how many rows two tables differ."""
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     return n(a, "_a").join(n(b, "_b")).select(F.lit("same_rows").alias("rule"), F.abs(F.col("_a") - F.col("_b")).alias("violations"))
+
+
+def by_text(*columns: str) -> list[Column]:
+    """Order by the columns as texts, null as empty."""
+    return [F.asc(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
+
+
+def holds(value: str, *lists: Column) -> Column:
+    """Any of the lists has the value."""
+    return reduce(lambda a, b: a | b, [F.coalesce(F.array_contains(c, value), F.lit(False)) for c in lists])
+
+
+def parity(files: DataFrame, store: DataFrame, group: str, key: str) -> DataFrame:
+    """(k, same_ids, same_pairs, missing) by group: counts of distinct keys and of rows on both sides."""
+    n = lambda df, i: df.groupBy(F.col(group).alias("k")).agg(F.countDistinct(key).alias(f"n{i}"), F.count(F.lit(1)).alias(f"p{i}"))
+    j = n(files, 0).join(n(store, 1), "k", "full_outer")
+    return j.select("k", (F.col("n0") == F.col("n1")).alias("same_ids"), (F.col("p0") == F.col("p1")).alias("same_pairs"), (F.coalesce("p0", F.lit(0)) - F.coalesce("p1", F.lit(0))).alias("missing"))

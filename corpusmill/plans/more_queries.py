@@ -260,11 +260,6 @@ def m18_mapping_audit(t: Tables):
     return t.supplier.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select event_type as kind, count(*) filter (where value > 20) as tp, round(count(*) filter (where value > 20) / cast(count(*) as double), 6) as recall from events group by rollup (event_type)""")
-def n6_n8_per_type(t: Tables):
-    return t.events.rollup(F.col("event_type").alias("kind")).agg(F.count_if(F.col("value") > 20).alias("tp"), F.round(F.count_if(F.col("value") > 20) / F.count(F.lit(1)), 6).alias("recall"))
-
-
 @query("""with s as (select user_id, event_type, round(max(value), 6) as score, row_number() over (partition by user_id order by max(value) desc, event_type) as n from events group by 1, 2) select a.user_id, a.event_type as best, a.score, round(a.score - coalesce(b.score, 0), 6) as margin from s a left join s b on b.user_id = a.user_id and b.n = 2 where a.n = 1""")
 def n9_semantic_typing(t: Tables):
     best = t.events.groupBy("user_id", "event_type").agg(F.round(F.max("value"), 6).alias("score"))
@@ -299,12 +294,10 @@ def q2_provenance_tiers(t: Tables):
     return d.groupBy(F.when(F.col("n") != F.col("p"), "warning").otherwise("ok").alias("tier")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("""with a as (select o_orderstatus as k, count(*) as n from orders group by 1), b as (select l_linestatus as k, count(*) as n from lineitem group by 1) select coalesce(a.k, b.k) as k, coalesce(a.n, 0) as files, coalesce(b.n, 0) as store, coalesce(a.n, 0) = coalesce(b.n, 0) as same from a full join b on a.k = b.k""")
+@query("""with a as (select l_returnflag as k, count(distinct l_orderkey) as n, count(*) as p from lineitem group by 1), b as (select l_returnflag as k, count(distinct l_orderkey) as n, count(*) as p from lineitem where l_linenumber < 7 group by 1) select coalesce(a.k, b.k) as k, a.n = b.n as same_ids, a.p = b.p as same_pairs, coalesce(a.p, 0) - coalesce(b.p, 0) as missing from a full join b on a.k = b.k""")
 def q8_materialization_parity(t: Tables):
-    a = t.orders.groupBy(F.col("o_orderstatus").alias("k")).agg(F.count(F.lit(1)).alias("a"))
-    b = t.lineitem.groupBy(F.col("l_linestatus").alias("k")).agg(F.count(F.lit(1)).alias("b"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return a.join(b, "k", "full_outer").select("k", zero("a").alias("files"), zero("b").alias("store"), (zero("a") == zero("b")).alias("same"))
+    """A table against what a store has of it, by source: distinct ids, pairs, and how many pairs are missing."""
+    return ops.parity(t.lineitem, t.lineitem.where("l_linenumber < 7"), "l_returnflag", "l_orderkey")
 
 
 @query("""select c_custkey, coalesce(n, 0) as items from customer left join (select o_custkey, count(*) as n from orders group by 1) on o_custkey = c_custkey where c_nationkey = 3""")
