@@ -93,6 +93,15 @@ def e27_g8_cluster_summary(t: Tables):
     return t.embeddings.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.round(F.avg(F.col("vec_id") % 10), 6).alias("mean_score"), F.count_if(F.col("vec_id") % 3 == 0).alias("with_code")).orderBy(F.desc("size"), "label")
 
 
+@query(None)
+def k6_ann(t: Tables):
+    """Lists around k-means centres, the nearest probed; a test measures recall against the exact search."""
+    v = t.embeddings.select("vec_id", "embedding")
+    index, centres = r.ann_index(v, "vec_id", "embedding", lists=16)
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return r.ann_search(index, centres, asked, 10, probes=8).withColumnRenamed("key", "vec_id")
+
+
 @query(None)
 def k12_kmeans(t: Tables):
     """Cluster labels differ between runs of other engines; rows only."""
