@@ -20,7 +20,7 @@ def summary(metrics: DataFrame, by: list[str]) -> DataFrame:
     """Means of the metrics that didn't fail, latency, and the share of empty results. metrics: by, recall, ndcg, mrr, latency, results, error."""
     ok = F.col("error").isNull()
     mean = lambda c: F.round(F.avg(F.when(ok, F.col(c))), 6).alias(c)
-    at = lambda q, name: F.round(F.percentile(F.when(ok, F.col("latency")), q), 3).alias(name)
+    at = lambda q, name: F.round(F.round(F.percentile(F.when(ok, F.col("latency")), q), 6), 3).alias(name)
     out = metrics.groupBy(*by).agg(F.count(F.lit(1)).alias("queries"), F.count_if(~ok).alias("errors"), mean("recall"), mean("ndcg"), mean("mrr"), at(0.5, "p50"), at(0.95, "p95"), F.round(F.avg(F.when(ok, (F.col("results") == 0).cast("double"))), 6).alias("empty"))
     return out.withColumn("composite", composite(F.col("recall"), F.col("ndcg"), F.col("mrr")))
 

@@ -29,7 +29,7 @@ def _of(t: Tables, run: str):
 
 
 _METRICS = """m as (select event_type as mode, user_id % 4 as grp, (event_id % 11) / 10.0 as recall, (event_id % 13) / 12.0 as ndcg, (event_id % 5) / 4.0 as mrr, value as latency, event_id % 6 as results, case when event_id % 17 = 0 then 'timeout' end as error from events)"""
-_SUMMARY = """select {by}, count(*) as queries, count(*) filter (where error is not null) as errors, round(avg(recall) filter (where error is null), 6) as recall, round(avg(ndcg) filter (where error is null), 6) as ndcg, round(avg(mrr) filter (where error is null), 6) as mrr, round(quantile_cont(latency, 0.5) filter (where error is null), 3) as p50, round(quantile_cont(latency, 0.95) filter (where error is null), 3) as p95, round(avg(case when results = 0 then 1.0 else 0.0 end) filter (where error is null), 6) as empty from m group by {by}"""
+_SUMMARY = """select {by}, count(*) as queries, count(*) filter (where error is not null) as errors, round(avg(recall) filter (where error is null), 6) as recall, round(avg(ndcg) filter (where error is null), 6) as ndcg, round(avg(mrr) filter (where error is null), 6) as mrr, round(round(quantile_cont(latency, 0.5) filter (where error is null), 6), 3) as p50, round(round(quantile_cont(latency, 0.95) filter (where error is null), 6), 3) as p95, round(avg(case when results = 0 then 1.0 else 0.0 end) filter (where error is null), 6) as empty from m group by {by}"""
 
 
 def _metrics(t: Tables):
