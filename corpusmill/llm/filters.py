@@ -56,7 +56,7 @@ class Table:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         o = np.argsort(keys.view(U64))
         self.keys, self.values = keys.view(U64)[o], values[o]
-        self.filter = Filter.of(self.keys)
+        self.filter = Filter(Filter.of(self.keys).words)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the hashes that have a value, and the values."""

@@ -24,7 +24,7 @@ entries are sent to all tasks, and what isn't among them is joined by a
 shuffle; the result doesn't depend on these three.
 
 Words and contexts are told apart by 64-bit hashes.  An entry is a next word
-that occurs ``least`` times in all and twice after the context.
+that occurs ``least`` times in all and ``entry`` times after the context.
 
 A null text is empty: its end is its only token.  A null doc_id hashes as the
 empty text.  Rows are scored one by one; repeated rows count as often as they
@@ -48,7 +48,7 @@ from corpusmill.llm.vectext import U64, mix, signed
 END, START = np.uint64(0xE0D), np.uint64(0x57A7)  # the hashes that stand for the end of a text and for what is before it
 DISCOUNT = 0.75
 #: Text whose counts a task gathers before it sends them on.
-SEGMENT = 16 << 20
+SEGMENT = 24 << 20
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -213,15 +213,18 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 
 
 def _level(found: DataFrame, contexts: DataFrame, many: int, prior: DataFrame, prior_rows: int, gain: float) -> tuple[DataFrame, DataFrame]:
-    """Retained contexts (ctx, n, back) and the level's entries (k, ctx, n, kept, lift, lp), from counts of candidate contexts.
+    """Retained contexts (ctx, n, back) and the level's entries (k, n, lift, lp), from counts of candidate contexts.
 
-    lp is the log probability of an entry under the longest retained suffix up to this level, lift what this level adds to it.
+    lp is the log probability of an entry under the longest retained suffix up to this level, lift what this level adds to it, null in a context that isn't retained.
     """
     turn = found.where("n = 0").select("ctx", F.col("k").alias("turn"))
     known = frames.cut(contexts.select(F.col("k").alias("ctx"), F.col("n").alias("total")).join(turn, "ctx"))
-    each = found.where("n > 1").join(_small(known, many), "ctx").withColumn("pk", F.col("k").bitwiseXOR(F.col("turn")))
+    each = found.where("n > 0").join(_small(known, many), "ctx").withColumn("pk", F.col("k").bitwiseXOR(F.col("turn")))
     each = each.join(_small(prior.select(F.col("k").alias("pk"), F.col("lp").alias("up")), prior_rows), "pk")
-    each = frames.cut(each.select("k", "ctx", "n", "total", "up", ((F.col("n") - DISCOUNT) / F.col("total")).alias("share")))
+    each = frames.cut(each.select("k", "ctx", "n", "total", "up"))
+    frames.release(found)
+    each_rows = each
+    each = each.withColumn("share", (F.col("n") - DISCOUNT) / F.col("total"))
     rest = each.groupBy("ctx").agg(F.greatest(1 - F.sum("share"), F.lit(1e-12)).alias("back"))
     each = each.join(_small(rest, many), "ctx").withColumn("own", F.log(F.col("share") + F.col("back") * F.exp("up")))
     told = each.groupBy("ctx").agg(F.sum(F.col("n") * (F.col("own") - F.col("up"))).alias("gained"), F.sum("n").alias("seen"), F.first("back").alias("back"))
@@ -229,11 +232,14 @@ def _level(found: DataFrame, contexts: DataFrame, many: int, prior: DataFrame, p
     told = frames.cut(told.select("ctx", F.col("total").alias("n"), F.log10("back").alias("back")))
     kept = _small(told.select("ctx", F.lit(True).alias("kept")), many)
     each = each.join(kept, "ctx", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
-    entries = frames.cut(each.select("k", "ctx", "n", "kept", ((F.col("own") - F.col("up")) / F.lit(np.log(10.0).item())).alias("lift"), F.when(F.col("kept"), F.col("own")).otherwise(F.col("up")).alias("lp")))
+    lift = (F.col("own") - F.col("up")) / F.lit(np.log(10.0).item())
+    entries = frames.cut(each.select("k", "n", F.when(F.col("kept"), lift).alias("lift"), F.when(F.col("kept"), F.col("own")).otherwise(F.col("up")).alias("lp")))
+    frames.release(each_rows)
+    frames.release(known)
     return told, entries
 
 
-def score(docs: DataFrame, depth: int = 4, least: int = 16, gain: float = 0.005, hot_words: int = 400_000, hot_contexts: int = 400_000, hot_entries: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, depth: int = 4, least: int = 512, entry: int = 8, gain: float = 0.005, hot_words: int = 400_000, hot_contexts: int = 400_000, hot_entries: int = 2_000_000) -> DataFrame:
     """Each row's doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     spark = docs.sparkSession
     frames.arrow_batches(spark)
@@ -259,12 +265,11 @@ def score(docs: DataFrame, depth: int = 4, least: int = 16, gain: float = 0.005,
         if not many:
             break
         levels.append(filters.build(contexts.select("k"), many))
-        found = frames.cut(src.mapInArrow(_entries(send((sound, levels))), shape).groupBy("k", "ctx").agg(F.sum("n").alias("n")).where("n <> 1"))
+        found = frames.cut(src.mapInArrow(_entries(send((sound, levels))), shape).groupBy("k", "ctx").agg(F.sum("n").alias("n")).where(f"n = 0 or n >= {entry}"))
         told, prior = _level(found, contexts, many, prior, prior_rows, gain)
-        frames.release(found)
         prior_rows = prior.count()
         backs.append(told)
-        lifts.append(prior.where("kept").select("k", "n", "lift"))
+        lifts.append(prior.where("lift is not null").select("k", "n", "lift"))
 
     def hot(parts: list[DataFrame], value: str, limit: int) -> tuple[filters.Table, DataFrame | None, int]:
         """The most frequent rows, all rows if there are others, and the count from which rows are among the first."""
