@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontam, lsh_forest, merkle, pii, pst, quality, rans, ring, ss_packing, suffix_dedup
+from corpusmill.llm import alignment, bpe, decontam, lsh_forest, merkle, pii, pst, quality, rans, ring, ss_packing, suffix_dedup, vector_codes
 from corpusmill.llm.frames import load
 
 
@@ -67,6 +67,43 @@ def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_ids(spark, path).drop("ids")
 
 
+def op11_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = bpe.round_trip(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+    return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes.compress(load(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), parts=8, entries=16, rounds=6)
+    return found.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def _lloyd_sql(parts: int = 8, width: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds of op12 as one query, a step for each; vectors of parts x width components."""
+    span = lambda v: f"list_transform(range({parts}), lambda p: {v}[p * {width} + 1 : (p + 1) * {width}])"
+    steps = [
+        "kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding))",
+        f"cut AS (SELECT vec_id, label, unnest(range({parts})) AS part, unnest({span('v')}) AS x FROM kept)",
+        f"first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < {entries})",
+        "book0 AS (SELECT part, entry, x AS c FROM cut JOIN first USING (vec_id))",
+    ]
+    far = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for k in range(rounds + 1):
+        steps.append(f"near{k} AS MATERIALIZED (SELECT part, vec_id, any_value(label) AS label, any_value(x) AS x, min({{'d': {far}::BIGINT, 'entry': entry}}) AS best FROM cut JOIN book{k} USING (part) GROUP BY part, vec_id)")
+        if k < rounds:
+            mean = ", ".join(f"floor(sum(x[{i + 1}]) / count(*))::BIGINT" for i in range(width))
+            steps.append(f"book{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN (SELECT part, best.entry AS entry, [{mean}] AS c FROM near{k} GROUP BY ALL) m USING (part, entry))")
+    last = f"near{rounds}"
+    steps += [
+        f"done AS (SELECT vec_id, any_value(label) AS label, string_agg(lower(lpad(hex(best.entry), 2, '0')), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM {last} GROUP BY vec_id)",
+        f"said AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds})",
+    ]
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM done, said"
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_pii": op2_pii,
@@ -78,5 +115,8 @@ QUERIES = {
     "op8_ss_packing": op8_ss_packing,
     "op9_decontam": op9_decontam,
     "op10_rans": op10_rans,
+    "op11_pair_index": op11_pair_index,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_alignment": op13_alignment,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_vector_codes": _lloyd_sql()}

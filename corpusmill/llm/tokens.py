@@ -1,21 +1,21 @@
 """Token ids of whole texts by a public tokenizer, with the encoder's work shared between equal chunks.
 
 A chunk is a run of white space with the run of other characters after it.  A
-cut is made only where an ASCII space follows a character that surely isn't
-white space; no pre-token of the supported tokenizers (byte-level and word
-BPE) spans such a place, so the ids of a text are those of its chunks in order.
-Chunks of a block are found and hashed as arrays; each distinct one is encoded
-once and remembered by a worker.
+cut is made only where ASCII white space follows a character that surely isn't
+white space; no pre-token of the supported tokenizers (byte-level and word BPE)
+spans such a place, so the ids of a text are those of its chunks in order.  Chunks of a block are told apart by
+their bytes; each distinct one is encoded once and remembered by a worker.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from corpusmill.llm import vectext
 
-#: Chunks that a worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 600_000, 48
+#: A worker forgets its chunks when it has seen so many distinct ones, or so many bytes of them.
+REMEMBERED, REMEMBERED_BYTES = 500_000, 16 << 20
 BLOCK = 2 << 20
 _SPACE = ~vectext.NOT_SPACE
 _GRAPH = vectext.lookup_table(lambda b: 0x21 <= b <= 0x7E)
@@ -31,73 +31,102 @@ def encoder(path: str) -> Encoder:
     return _OPEN[path]
 
 
-class Encoder:
-    def __init__(self, path: str):
+def chunks(block: vectext.Block, space: np.ndarray = _SPACE) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct chunks of a block, the number of each of its chunks in that list, and the row of each; space: the bytes that a cut is made before."""
+    buf = block.buf
+    after = np.zeros(len(buf), dtype=bool)
+    after[1:] = _GRAPH[buf[:-1]]
+    after[2:] |= (buf[1:-1] >= 0x80) & _TWO[buf[:-2]]
+    after[3:] |= (buf[2:-1] >= 0x80) & (buf[1:-2] >= 0x80) & _THREE[buf[:-3]]
+    cut = after & space[buf]
+    cut[block.start] = True
+    cut[block.end] = True  # what stands between two texts is a piece of its own
+    edge = np.flatnonzero(cut)
+    pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edge), [None, pa.py_buffer(np.append(edge, len(buf))), pa.py_buffer(buf)]).dictionary_encode()
+    between = np.zeros(len(buf), dtype=bool)
+    between[block.end] = True
+    own = ~between[edge]
+    return pieces.dictionary.to_pylist(), pieces.indices.to_numpy()[own], np.searchsorted(block.start, edge[own], side="right") - 1
+
+
+class Grown:
+    """An array that values are appended to."""
+
+    def __init__(self, dtype: type, first: tuple = ()):
+        self.held, self.n = np.zeros(1 << 14, dtype=dtype), len(first)
+        self.held[: self.n] = first
+
+    def add(self, values: np.ndarray) -> None:
+        while self.n + len(values) > len(self.held):
+            self.held = np.concatenate((self.held, np.zeros_like(self.held)))
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
+def runs(start: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places of all runs, one run after another."""
+    return np.arange(int(lens.sum())) + np.repeat(start - (np.cumsum(lens) - lens), lens)
+
+
+class Memory:
+    """Numbers distinct chunks in the order they are met; ``learn`` computes what is kept of each new one."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.weight = 0
+
+    def learn(self, new: list[bytes]) -> None:
+        raise NotImplementedError
+
+    def numbers(self, distinct: list[bytes]) -> np.ndarray:
+        if len(self.known) > REMEMBERED or self.weight > REMEMBERED_BYTES:
+            self.clear()
+        known = self.known
+        new = [c for c in distinct if c not in known]
+        if new:
+            self.learn(new)
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            self.weight += sum(map(len, new))
+        return np.fromiter((known[c] for c in distinct), dtype=np.int64, count=len(distinct))
+
+
+class Encoder(Memory):
+    def __init__(self, path: str, plain: bool = False):
+        """plain: the strings of special tokens are ordinary text."""
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.place = np.zeros(1 << 14, dtype=np.int64)
-        self.place_n, self.ids_n = 0, 0
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        if plain:
+            self.tokenizer.encode_special_tokens = True
+        super().__init__()
 
-    def _learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def clear(self) -> None:
+        super().clear()
+        self.ids, self.ends = Grown(np.uint32), Grown(np.int64, (0,))
+
+    def ids_of(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks, joined, and the number of each."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)]
         n = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        flat = np.fromiter((x for g in got for x in g), dtype=np.uint32, count=int(n.sum()))
-        return flat, n
-
-    def _keep(self, keys: list[int], flat: np.ndarray, n: np.ndarray) -> None:
-        while self.ids_n + len(flat) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while self.place_n + len(n) + 1 > len(self.place):
-            self.place = np.concatenate((self.place, np.zeros_like(self.place)))
-        self.ids[self.ids_n : self.ids_n + len(flat)] = flat
-        self.place[self.place_n + 1 : self.place_n + len(n) + 1] = self.ids_n + np.cumsum(n)
-        self.known.update(zip(keys, range(self.place_n, self.place_n + len(n)), strict=True))
-        self.place_n += len(n)
-        self.ids_n += len(flat)
+        return np.fromiter((x for g in got for x in g), dtype=np.uint32, count=int(n.sum())), n
+
+    def learn(self, new: list[bytes]) -> None:
+        flat, n = self.ids_of(new)
+        self.ends.add(self.ids.n + np.cumsum(n))
+        self.ids.add(flat)
 
     def encode(self, block: vectext.Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the block's texts, joined, and how many each text has."""
-        buf = block.buf
-        after = np.zeros(len(buf), dtype=bool)
-        after[1:] = _GRAPH[buf[:-1]]
-        after[2:] |= (buf[1:-1] >= 0x80) & _TWO[buf[:-2]]
-        after[3:] |= (buf[2:-1] >= 0x80) & (buf[1:-2] >= 0x80) & _THREE[buf[:-3]]
-        cut = after & _SPACE[buf]
-        cut[block.start] = True
-        cut[block.end] = False
-        start = np.flatnonzero(cut)
-        if not len(start):
-            return np.zeros(0, dtype=np.uint32), np.zeros(len(block), dtype=np.int64)
-        doc = np.searchsorted(block.start, start, side="right") - 1
-        end = np.minimum(np.concatenate((start[1:], [len(buf)])), block.end[doc])
-        key = vectext.mix(vectext.range_hash(buf, start, end, 7))
-        kinds, first, of = np.unique(key, return_index=True, return_inverse=True)
-        at = np.fromiter((self.known.get(k, -1) for k in kinds.tolist()), dtype=np.int64, count=len(kinds))
-        new = np.flatnonzero(at < 0)
-        lens = np.zeros(len(kinds), dtype=np.int64)
-        source = np.zeros(len(kinds), dtype=np.int64)
-        had = at >= 0
-        source[had] = self.place[at[had]]
-        lens[had] = self.place[at[had] + 1] - source[had]
-        pool = self.ids[: self.ids_n]
-        if len(new):
-            s, e = start[first[new]], end[first[new]]
-            flat, n = self._learn([buf[a:b].tobytes() for a, b in zip(s, e, strict=True)])
-            lens[new] = n
-            source[new] = len(pool) + np.cumsum(n) - n
-            pool = np.concatenate((pool, flat))
-            short = e - s <= LONGEST
-            if short.any() and self.place_n < REMEMBERED:
-                self._keep(kinds[new[short]].tolist(), flat[np.repeat(short, n)], n[short])
-        lens, source = lens[of], source[of]
-        total = int(lens.sum())
-        where = np.arange(total) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(source, lens)
-        counts = np.bincount(doc, weights=lens, minlength=len(block)).astype(np.int64)
-        return pool[where], counts
+        distinct, of, row = chunks(block)
+        at = self.numbers(distinct)[of]
+        start = self.ends.held[at]
+        lens = self.ends.held[at + 1] - start
+        return self.ids.held[runs(start, lens)], np.bincount(row, weights=lens, minlength=len(block)).astype(np.int64)
