@@ -2,14 +2,14 @@
 
 Sections are separated by blank lines, paragraphs by line breaks.  A paragraph
 falls into passages, cut after words whose hash is a multiple of ``spread``, so
-that an edit moves no cut elsewhere.  A leaf is the hash of a passage with its
-separators; a paragraph, a section and the root are hashes of the ordered
-hashes below them.  Equal texts have equal roots; where roots differ, only
+that an edit moves no cut elsewhere.  A leaf is the digest of a passage with its
+separators; a paragraph, a section and the root are digests of the ordered
+digests below them (BLAKE2b of 128 bits, personalised by level).  Equal texts have equal roots; where roots differ, only
 branches that differ are followed, down to the passages (``edits``).
 
-The printed form is the root (16 hex digits), a colon, and base64 of the
+The printed form is the root (32 hex digits, zeros for an empty text), a colon, and base64 of the
 shape's size, the shape (number of sections, the paragraphs of each, the
-passages of each paragraph, the length of each passage) and 4 bytes of hash
+passages of each paragraph, the length of each passage) and 4 bytes of digest
 for each passage.  Only
 this form is compared: likeness is 1 for equal roots, else the share of bytes in
 sections that both have, in paragraphs of the other sections, and in passages of
@@ -25,7 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -37,14 +37,26 @@ from corpusmill.llm import frames, vectext
 from corpusmill.llm.vectext import U64, mix
 
 SPREAD = 6
+#: Hex digits of a root.
+ROOT = 32
 _WORD = vectext.NOT_SPACE & (np.arange(256) > 0)
 
 
 def _fold(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hash of each run of hashes, in order."""
+    """Hash of each run of hashes, in order; only tells branches of two printed forms apart."""
     n = np.diff(np.concatenate((first, [len(h)])))
     pos = np.arange(len(h)) - np.repeat(first, n)
-    return mix(np.add.reduceat(h * vectext.powers(int(n.max()))[pos], first) + n.astype(U64))
+    return mix(np.add.reduceat(h * vectext.places(int(n.max()))[pos], first) + n.astype(U64))
+
+
+def _digests(parts: Iterable[bytes], level: bytes) -> list[bytes]:
+    return [hashlib.blake2b(x, digest_size=ROOT // 2, person=level).digest() for x in parts]
+
+
+def _above(below: list[bytes], first: np.ndarray, level: bytes) -> list[bytes]:
+    """Digests of runs of digests."""
+    at = [*first.tolist(), len(below)]
+    return _digests((b"".join(below[a:z]) for a, z in zip(at, at[1:], strict=False)), level)
 
 
 def _varint(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,43 +89,44 @@ def fingerprints(texts: list[bytes], spread: int = SPREAD) -> list[str]:
     marks[block.end] = False
     start = np.flatnonzero(marks)
     if not len(start):
-        return ["0" * 16 + ":"] * len(texts)
+        return ["0" * ROOT + ":"] * len(texts)
     doc = np.searchsorted(block.start, start, side="right") - 1
     end = np.minimum(np.concatenate((start[1:], [len(buf)])), block.end[doc])
-    leaf = mix(vectext.range_hash(buf, start, end, 5))
+    whole = buf.tobytes()
+    leaf = _digests((whole[a:z] for a, z in zip(start.tolist(), end.tolist(), strict=True)), b"passage")
     closes = buf[end - 1] == 10
     opens = np.concatenate(([True], doc[1:] != doc[:-1]))
     first = np.flatnonzero(opens | np.concatenate(([True], closes[:-1])))  # first passage of each paragraph
-    para = _fold(leaf, first)
+    para = _above(leaf, first, b"paragraph")
     blank = closes[first] & (end[first] - start[first] == 1)
     at = np.flatnonzero(opens[first] | np.concatenate(([True], blank[:-1])))  # first paragraph of each section
-    section = _fold(para, at)
+    section = _above(para, at, b"section")
     roots = np.flatnonzero(opens[first][at])
-    root = _fold(section, roots)
+    root = _above(section, roots, b"root")
     size = end - start
     per_para = np.diff(np.concatenate((first, [len(leaf)])))
     per_section = np.diff(np.concatenate((at, [len(first)])))
     of_doc = np.concatenate((roots, [len(at)]))
     of_para = np.concatenate((at, [len(first)]))[of_doc]
     of_leaf = np.concatenate((first, [len(leaf)]))[of_para]
-    short = (leaf >> U64(32)).astype("<u4")
+    short = np.frombuffer(b"".join(x[:4] for x in leaf), dtype="<u4")
     shapes = []
     for i in range(len(roots)):
         shapes += [of_doc[i + 1 : i + 2] - of_doc[i], per_section[of_doc[i] : of_doc[i + 1]], per_para[of_para[i] : of_para[i + 1]], size[of_leaf[i] : of_leaf[i + 1]]]
     raw, sizes = _varint(np.concatenate(shapes))
     values = 1 + np.diff(of_doc) + np.diff(of_para) + np.diff(of_leaf)
     till = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(values)))]
-    out = ["0" * 16 + ":"] * len(texts)
+    out = ["0" * ROOT + ":"] * len(texts)
     for i, r in enumerate(doc[of_leaf[:-1]].tolist()):
         shape = raw[till[i] : till[i + 1]].tobytes()
         body = len(shape).to_bytes(4, "little") + shape + short[of_leaf[i] : of_leaf[i + 1]].tobytes()
-        out[r] = f"{int(root[i]):016x}:{base64.b64encode(body).decode()}"
+        out[r] = f"{root[i].hex()}:{base64.b64encode(body).decode()}"
     return out
 
 
 def parse(fingerprint: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Paragraphs of each section, passages of each paragraph, passage lengths and hashes."""
-    body = base64.b64decode(fingerprint[17:])
+    body = base64.b64decode(fingerprint[ROOT + 1 :])
     if not body:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none.astype(np.uint32)
@@ -130,7 +143,7 @@ class Tree:
     __slots__ = ("first", "keys", "root", "size")
 
     def __init__(self, fingerprint: str):
-        self.root = fingerprint[:16]
+        self.root = fingerprint[:ROOT]
         sections, paragraphs, lens, hashes = parse(fingerprint)
         leaf = (lens.astype(np.int64) << 32 | hashes).view(U64)
         starts = [np.concatenate(([0], np.cumsum(n))) for n in (sections, paragraphs)]

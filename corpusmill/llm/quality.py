@@ -175,7 +175,9 @@ def fit(labelled: DataFrame, significance: float = 6.0, support: float = 0.02) -
     """
     spark = labelled.sparkSession
     shape = f"doc_id {labelled.schema['doc_id'].dataType.simpleString()}, bytes binary, toxic int, low int, k1 long, k2 long"
-    labelled = labelled.select("doc_id", "bytes", *FAULTS).mapInArrow(_sketch, shape).dropDuplicates(["k1"]).dropDuplicates(["k2"])
+    labelled = labelled.select("doc_id", "bytes", *FAULTS).mapInArrow(_sketch, shape)
+    for k in ("k1", "k2"):  # the copy of the smallest doc_id, however the rows are dealt
+        labelled = labelled.groupBy(k).agg(F.min(F.struct(*[c for c in labelled.columns if c != k])).alias("x")).select(k, "x.*")
     labelled = frames.cut(labelled.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0))
     first = labelled.where("not part").select("bytes", *FAULTS)
     sizes = first.agg(*[F.count(f) for f in FAULTS], *[F.sum(f) for f in FAULTS]).first()

@@ -23,9 +23,10 @@ A segment sends one row for each digit at most, as later members of a group
 repeat an earlier one whatever other segments hold.  Hence no group is larger
 than the number of segments, however often a passage occurs.
 
-Nulls and ties: a null text is empty; a null doc_id comes after all others.
-Rows that share a doc_id are told apart by a hash of the text; strings at the
-same doc_id and start are not earlier than one another.  Texts under ``length``
+Nulls and ties: a null text is empty; rows without a doc_id come after all
+others, in the order of a digest of their texts.  Rows that share a doc_id are
+told apart by 60 bits of the text's SHA-256; strings at the same doc_id and start
+are not earlier than one another.  Texts under ``length``
 bytes lose nothing.  Other columns of the input are ignored.
 """
 
@@ -50,10 +51,10 @@ SEGMENT = 24 << 20
 MANY = 8192
 #: So many anchors with differing surroundings are sent to all tasks; beyond, they are joined.
 BROADCAST_KEYS = 8_000_000
-_POS, _NO_ID = 28, (1 << 63) - 1
+_POS = 28
 #: Bytes of a text whose anchors are found at a time.
 LARGEST = 1 << (_POS - 1)
-_ROW = "key long, sc long, doc long, place long"
+_ROW = "key long, sc long, doc long, tag long, place long"
 
 
 def _anchored(block: vectext.Block, length: int):
@@ -95,8 +96,10 @@ def _anchored_part(buf: np.ndarray, start: np.ndarray, end: np.ndarray, length:
     return gram[anchor], sc, lo, hi
 
 
-def _tag(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=2).digest(), "little")
+def _source(docs: DataFrame) -> DataFrame:
+    """doc_id; doc: it, or for null one of the text's own beyond all others; tag: of the text; bytes."""
+    tag = F.conv(F.substring(F.sha2("bytes", 256), 1, 15), 16, 10).cast("long")
+    return docs.select("doc_id", frames.text_bytes().alias("bytes")).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), tag + (1 << 62)).alias("doc"), tag.alias("tag"), "bytes")
 
 
 def _runs(doc, tag, lo, hi):
@@ -117,7 +120,7 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int, want):
     """
     held, parts, size = [], [], 0
     for batch in batches:
-        ids = batch.column("doc").to_numpy(zero_copy_only=False)
+        ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag"))
         kgs = batch.column("kgs").to_pylist() if want is True else None
         for block in vectext.blocks(batch.column("bytes"), limit=BLOCK):
             kg, sc, lo, hi = _anchored(block, length)
@@ -132,11 +135,8 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int, want):
                     got = want[np.minimum(np.searchsorted(want, kg), len(want) - 1)] == kg if len(want) else ~got
                 if got.any():
                     kg, sc, lo, hi, row = (x[got] for x in (kg, sc, lo, hi, row))
-                    tags = np.zeros(len(block), dtype=np.int64)
-                    for r in np.unique(row):
-                        tags[r] = _tag(block.buf[block.start[r] : block.end[r]].tobytes())
                     base = block.start[row]
-                    held.append((kg, sc, ids[block.first + row], tags[row], lo - base, hi - base, np.full(len(kg), len(parts)), lo))
+                    held.append((kg, sc, ids[block.first + row], tags[block.first + row], lo - base, hi - base, np.full(len(kg), len(parts)), lo))
                     parts.append(block.buf if want is not None else None)
             if size >= SEGMENT:
                 if held:
@@ -146,14 +146,14 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int, want):
         yield [np.concatenate(x) for x in zip(*held, strict=True)], parts
 
 
-def _emit(key, sc, doc, place, more=None) -> Iterator[pa.RecordBatch]:
+def _emit(key, sc, doc, tag, place, more=None) -> Iterator[pa.RecordBatch]:
     """more: gives the bytes column for a slice."""
     for i in range(0, len(key), 1 << 14):
         j = slice(i, i + (1 << 14))
-        cols = [pa.array(np.ascontiguousarray(x[j])) for x in (signed(key), signed(sc), doc, place)]
+        cols = [pa.array(np.ascontiguousarray(x[j])) for x in (signed(key), signed(sc), doc, tag, place)]
         if more:
             cols.append(more(j))
-        yield pa.RecordBatch.from_arrays(cols, ["key", "sc", "doc", "place", "ctx"][: len(cols)])
+        yield pa.RecordBatch.from_arrays(cols, ["key", "sc", "doc", "tag", "place", "ctx"][: len(cols)])
 
 
 def _ordered(kg, sc, doc, lo):
@@ -169,7 +169,7 @@ def _ordered(kg, sc, doc, lo):
 
 def _run_rows(doc, tag, lo, hi, ctx: bool = False):
     d, t, a, b = _runs(doc, tag, lo, hi)
-    return _emit(mix(d.view(U64)), (b << 16 | t).view(U64), d, -2 - a, (lambda j: pa.nulls(len(d[j]), pa.binary())) if ctx else None)
+    return _emit(mix(d.view(U64)), b.view(U64), d, t, -2 - a, (lambda j: pa.nulls(len(d[j]), pa.binary())) if ctx else None)
 
 
 def _by_anchor(length: int):
@@ -179,14 +179,14 @@ def _by_anchor(length: int):
             kg, sc, doc, tag, lo, hi = (x[o] for x in (kg, sc, doc, tag, lo, hi))
             at = np.flatnonzero(new_kg)
             many = np.add.reduceat(new.astype(np.int64), at) > 1  # a digit whose windows differ within the segment is only named
-            yield from _emit(kg[at], sc[at], doc[at], np.where(many, -1, _place(lo, hi, tag)[at]))
+            yield from _emit(kg[at], sc[at], doc[at], tag[at], np.where(many, -1, _place(lo, hi)[at]))
             yield from _run_rows(doc[later], tag[later], lo[later], hi[later])
 
     return run
 
 
-def _place(lo, hi, tag):
-    return ((lo << 7) | (hi - lo + 1)) << 16 | tag
+def _place(lo, hi):
+    return (lo << 7) | (hi - lo + 1)
 
 
 def _by_class(length: int, want):
@@ -196,7 +196,7 @@ def _by_class(length: int, want):
             kg, sc, doc, tag, lo, hi, part, start = (x[o] for x in (kg, sc, doc, tag, lo, hi, part, start))
             f = np.flatnonzero(new)
             p, a, z = part[f], start[f], start[f] + hi[f] - lo[f] + length
-            yield from _emit(kg[f], sc[f], doc[f], _place(lo, hi, tag)[f], lambda j, p=p, a=a, z=z, parts=parts: pa.array([parts[i][x:y].tobytes() for i, x, y in zip(p[j], a[j], z[j], strict=True)], pa.binary()))
+            yield from _emit(kg[f], sc[f], doc[f], tag[f], _place(lo, hi)[f], lambda j, p=p, a=a, z=z, parts=parts: pa.array([parts[i][x:y].tobytes() for i, x, y in zip(p[j], a[j], z[j], strict=True)], pa.binary()))
             yield from _run_rows(doc[later], tag[later], lo[later], hi[later], True)
 
     return run
@@ -247,7 +247,7 @@ def _group_windows(length: int):
         group, doc, tag, at = _radix(held, length)
         o, _, _, later = _ordered(group, group, doc, at) if len(group) else (group, group, group, group.astype(bool))
         d, t, a, b = _runs(doc[o][later], tag[o][later], at[o][later], at[o][later])
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t.astype(np.int32)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["doc", "tag", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["doc", "tag", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -281,7 +281,7 @@ def _each_window(length: int):
                 one, two, doc, tag, at = _set_out([batch], length)
                 o, _, new, later = _ordered(one, two, doc, at)
                 one, two, doc, tag, at = (x[o] for x in (one, two, doc, tag, at))
-                yield from _emit(one[new], two[new], doc[new], _place(at, at, tag)[new])
+                yield from _emit(one[new], two[new], doc[new], tag[new], _place(at, at)[new])
                 yield from _run_rows(doc[later], tag[later], at[later], at[later])
 
     return run
@@ -296,20 +296,20 @@ def _decided(rows: DataFrame, by: list[str]) -> DataFrame:
     if by == ["key"]:
         real = F.when(F.col("place") >= -1, F.col("sc"))
         many = (F.min(real).over(whole) != F.max(real).over(whole)) | (F.min(F.when(F.col("place") >= -1, F.col("place"))).over(whole) == -1)
-    rows = rows.withColumn("many", many).withColumn("lead", F.min(F.when(own, F.struct("doc", F.shiftright("place", 16).alias("p")))).over(whole)).withColumn("nth", F.row_number().over(w.orderBy("doc", "place")))
+    rows = rows.withColumn("many", many).withColumn("lead", F.min(F.when(own, F.struct("doc", F.col("place").alias("p")))).over(whole)).withColumn("nth", F.row_number().over(w.orderBy("doc", "place")))
     run = F.col("place") <= -2
-    repeat = own & ~F.col("many") & ((F.col("doc") != F.col("lead.doc")) | (F.shiftright("place", 16) != F.col("lead.p")))
+    repeat = own & ~F.col("many") & ((F.col("doc") != F.col("lead.doc")) | (F.col("place") != F.col("lead.p")))
     ask = ~run & F.col("many") & (F.col("nth") == 1)
     if "ctx" in rows.columns:
         ask = own & (F.col("nth") == 1)
-    lo = F.when(run, -2 - F.col("place")).otherwise(F.shiftright("place", 23))
+    lo = F.when(run, -2 - F.col("place")).otherwise(F.shiftright("place", 7))
     return rows.where(run | repeat | ask).select(
         ask.alias("ask"),
         F.col("key").alias("kg"),
         "doc",
-        F.when(run, F.col("sc").bitwiseAND(0xFFFF)).otherwise(F.col("place").bitwiseAND(0xFFFF)).cast("int").alias("tag"),
+        "tag",
         lo.cast("int").alias("lo"),
-        F.when(run, F.shiftright("sc", 16)).otherwise(lo + F.shiftright("place", 16).bitwiseAND(127) - 1).cast("int").alias("hi"),
+        F.when(run, F.col("sc")).otherwise(lo + F.col("place").bitwiseAND(127) - 1).cast("int").alias("hi"),
         *([F.when(ask, F.col("ctx")).alias("ctx")] if "ctx" in rows.columns else []),
     )
 
@@ -321,7 +321,7 @@ def _cover(length: int):
             out = []
             for text, found in zip(batch.column("bytes").to_pylist(), spans, strict=True):
                 n = len(text)
-                got = np.array([(x["lo"], x["hi"]) for x in found or () if x["tag"] == _tag(text)], dtype=np.int64).reshape(-1, 2) if found else np.zeros((0, 2), dtype=np.int64)
+                got = np.array([(x["lo"], x["hi"]) for x in found or ()], dtype=np.int64).reshape(-1, 2) if found else np.zeros((0, 2), dtype=np.int64)
                 if not len(got):
                     out.append((n, 0, 0, hashlib.sha256(text).hexdigest(), []))
                     continue
@@ -342,10 +342,12 @@ def _cover(length: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """For each document with a repeated string: doc (doc_id, or the largest long), spans of window starts (tag, lo, hi)."""
+    """For each text with a repeated string: doc and tag as in _source, spans of window starts (lo, hi)."""
+    if not ANCHOR <= length < ANCHOR + 127:
+        raise ValueError(f"strings of {ANCHOR} to {ANCHOR + 126} bytes are found")
     spark = docs.sparkSession
     frames.arrow_batches(spark)
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), frames.text_bytes().alias("bytes")).where(F.length("bytes") >= length)
+    src = _source(docs).select("doc", "tag", "bytes").where(F.length("bytes") >= length)
     one = frames.cut(_decided(src.mapInArrow(_by_anchor(length), _ROW), ["key"]))
     asked = one.where("ask").select("kg")
     n = asked.count()
@@ -356,7 +358,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
 
         def named(batches):
             for x, _ in _segments(batches, length, None):
-                for b in _emit(x[0], x[0], x[2], x[2]):
+                for b in _emit(x[0], x[0], x[2], x[3], x[2]):
                     yield b.select(["key", "doc"])
 
         marks = src.mapInArrow(named, "key long, doc long").join(asked.withColumnRenamed("kg", "key"), "key", "left_semi").groupBy("doc").agg(F.collect_set("key").alias("kgs"))
@@ -364,11 +366,11 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     two = frames.cut(_decided(two, ["key", "sc"]))
     classes = two.where("ask").select("kg", "doc", "tag", "lo", "ctx")
     sizes = frames.cut(classes.groupBy("kg").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    few = classes.join(sizes.where(F.col("n") <= MANY), "kg", "left_semi").repartition("kg").sortWithinPartitions("kg").mapInArrow(_group_windows(length), "doc long, tag int, lo int, hi int")
+    few = classes.join(sizes.where(F.col("n") <= MANY), "kg", "left_semi").repartition("kg").sortWithinPartitions("kg").mapInArrow(_group_windows(length), "doc long, tag long, lo int, hi int")
     most = sizes.where(F.col("n") > MANY).select("kg")
     most = _decided(frames.keep_keys(classes, most, ["kg"], most.count()).mapInArrow(_each_window(length), _ROW), ["key", "sc"]).select("doc", "tag", "lo", "hi")
     both = one.where("not ask").select("doc", "tag", "lo", "hi").unionByName(two.where("not ask").select("doc", "tag", "lo", "hi")).unionByName(few).unionByName(most)
-    return both.groupBy("doc").agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("spans"))
+    return both.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -379,10 +381,10 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     """
     spans = frames.cut(repeated_spans(docs, length))
     n = spans.count()
-    src = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), frames.text_bytes().alias("bytes"))
+    src = _source(docs)
     shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, edges array<long>"
     if n > frames.BROADCAST_ROWS:
-        return src.join(spans, "doc", "left").mapInArrow(_cover(length), shape)
-    keys = F.broadcast(spans.select("doc"))
-    hit = src.join(keys, "doc", "left_semi").join(spans, "doc")
-    return hit.mapInArrow(_cover(length), shape).unionByName(src.join(keys, "doc", "left_anti").mapInArrow(_cover(length), shape))
+        return src.join(spans, ["doc", "tag"], "left").mapInArrow(_cover(length), shape)
+    keys = F.broadcast(spans.select("doc", "tag"))
+    hit = src.join(keys, ["doc", "tag"], "left_semi").join(spans, ["doc", "tag"])
+    return hit.mapInArrow(_cover(length), shape).unionByName(src.join(keys, ["doc", "tag"], "left_anti").mapInArrow(_cover(length), shape))

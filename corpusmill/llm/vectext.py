@@ -1,9 +1,11 @@
 """Array-at-a-time text primitives used by the Arrow operators.
 
 Everything works on UTF-8 bytes joined into one buffer with a separator byte
-after each text, so that no word or window crosses a document.  Words get
-64-bit hashes: sum(T[byte] * P**position) modulo 2**64 with a random table T,
-finished by an avalanche step; no step works a word or a row at a time.
+after each text, so that no word or window crosses a document.  Words and other
+ranges get 64-bit hashes: sum(T[byte] * R[position]) modulo 2**64 with random
+tables T and R, finished by an avalanche step (powers of one base in place of R
+would make texts of a Thue-Morse pattern collide).  Only windows of one short
+length use powers.  No step works a word or a row at a time.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLES: dict[int, np.ndarray] = {}
 _POWERS: dict[int, np.ndarray] = {}
+_PLACES: list[np.ndarray] = []
 
 #: Bytes of text handled at a time; larger documents form a block of their own.
 BLOCK_BYTES = 1 << 20
@@ -41,6 +44,14 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
     return have[:n]
 
 
+def places(n: int) -> np.ndarray:
+    """A random odd number for each position below n; kept and doubled when more are needed."""
+    if not _PLACES or len(_PLACES[0]) < n:
+        size = max(1024, 1 << int(n - 1).bit_length())
+        _PLACES[:] = [mix(np.arange(1, size + 1, dtype=U64) * U64(_BASE)) | U64(1)]
+    return _PLACES[0][:n]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Avalanche of 64-bit values."""
     x = x ^ (x >> U64(30))
@@ -126,7 +137,7 @@ def range_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -
     first = np.cumsum(lens) - lens
     pos = np.arange(total) - np.repeat(first, lens)
     at = pos + np.repeat(start, lens)
-    terms = byte_table(seed)[buf[at]] * powers(int(lens.max()))[pos]
+    terms = byte_table(seed)[buf[at]] * places(int(lens.max()))[pos]
     return np.add.reduceat(terms, first)
 
 
