@@ -33,12 +33,13 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corpusmill.llm import frames, tokens, vectext
 
 #: Bytes of text whose chunks are indexed together.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
+#: A word of its own by any of the supported vocabularies' rules.
+_PLAIN = re.compile(rb" ?[A-Za-z]+")
 _OPEN: dict[str, tuple[PairEncoder, TokenBytes]] = {}
 
 
@@ -49,6 +50,11 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 class Merges:
     """Pairs by rank, and the ranks of pairs as a sorted list."""
 
@@ -101,7 +107,7 @@ class Merges:
         while active:
             r = heapq.heappop(active)
             left, right = self.left[r], self.right[r]
-            at = np.unique(np.concatenate(lists.pop(r)))
+            at = _distinct(np.concatenate(lists.pop(r)))
             at = at[(symbol[at] == left) & (symbol[after[at]] == right)]
             if left == right and len(at) > 1:  # of pairs that share a symbol, every other one from the left
                 place = np.arange(len(at))
@@ -114,7 +120,7 @@ class Merges:
             after[at] = after[gone]
             before[after[at]] = at
             side = before[at]
-            index(np.unique(np.concatenate((side[side < n], at))))
+            index(_distinct(np.concatenate((side[side < n], at))))
         kept = np.flatnonzero(symbol[:n] >= 0)
         return symbol[kept], kept
 
@@ -135,6 +141,7 @@ class PairEncoder(tokens.Encoder):
         self.merges = Merges(np.array([[vocab[a], vocab[b]] for a, b in pairs], dtype=np.int64).reshape(-1, 2), np.array([vocab[a + b] for a, b in pairs], dtype=np.int64))
         self.symbols = np.zeros(max(map(ord, letters)) + 1, dtype=np.int64)
         self.symbols[[ord(c) for c in letters]] = [vocab[c] for c in letters]
+        self.space = next(c for c, b in letters.items() if b == 0x20)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         super().__init__(path)
@@ -145,6 +152,10 @@ class PairEncoder(tokens.Encoder):
         fixed: dict[int, int] = {}
         count = np.zeros(len(new), dtype=np.int64)
         for i, raw in enumerate(new):
+            if _PLAIN.fullmatch(raw):
+                spelled.append(raw.decode().replace(" ", self.space))
+                count[i] = 1
+                continue
             text, had, at = raw.decode("utf-8", "replace"), len(spelled), 0
             for m in self.split.finditer(text) if self.split else ():
                 spelled += [w for w, _ in self.words(text[at : m.start()])]
@@ -165,33 +176,33 @@ class PairEncoder(tokens.Encoder):
 
 
 class TokenBytes:
-    """The bytes of each token, one after another."""
+    """The bytes of each token, one after another; ids outside the vocabulary have none."""
 
-    def __init__(self, path: str):
-        spec = json.loads(Path(path).read_text(encoding="utf-8"))
-        letters = byte_letters()
-        known = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-        told = [known.get(i, "") for i in range(max(known, default=-1) + 1)]
-        raw = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in told]
-        self.size = np.append([len(x) for x in raw], 0).astype(np.int64)  # the last stands for ids outside the vocabulary
+    def __init__(self, raw: list[bytes]):
+        self.size = np.array([*map(len, raw), 0], dtype=np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.pool = np.frombuffer(b"".join(raw), dtype=np.uint8)
 
-    def join(self, ids: np.ndarray) -> bytes:
+    def join(self, ids: np.ndarray) -> np.ndarray:
         ids = np.minimum(ids, len(self.size) - 1).astype(np.int64)
-        return self.pool[tokens.runs(self.start[ids], self.size[ids])].tobytes()
+        return self.pool[tokens.runs(self.start[ids], self.size[ids])]
+
+
+def token_bytes(path: str) -> TokenBytes:
+    spec = json.loads(Path(path).read_text(encoding="utf-8"))
+    letters = byte_letters()
+    known = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    told = [known.get(i, "") for i in range(max(known, default=-1) + 1)]
+    return TokenBytes([bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in told])
 
 
 def _opened(path: str) -> tuple[PairEncoder, TokenBytes]:
     if path not in _OPEN:
-        _OPEN[path] = PairEncoder(path), TokenBytes(path)
+        _OPEN[path] = PairEncoder(path), token_bytes(path)
     return _OPEN[path]
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """A row for each text: doc_id, n_tokens, and ids (little-endian unsigned 32-bit)."""
-    frames.arrow_batches(docs.sparkSession, 8000, "16m")
-
+def _encode(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _opened(tokenizer)[0]
         for batch in batches:
@@ -201,25 +212,40 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
                 column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, len(block)), pa.array(counts), column.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", frames.text_bytes().alias("bytes")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
-
+    return run
 
-def decode(coded: DataFrame, tokenizer: str) -> DataFrame:
-    """The rows of encode() with the decoded ``text``."""
-    frames.arrow_batches(coded.sparkSession, 8000, "16m")
 
+def _decode(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _opened(tokenizer)[1]
         for batch in batches:
-            said = [table.join(np.frombuffer(raw or b"", dtype="<u4")).decode("utf-8", "replace") for raw in batch.column("ids").to_pylist()]
+            said = [table.join(np.frombuffer(raw or b"", dtype="<u4")).tobytes().decode("utf-8", "replace") for raw in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], [*batch.schema.names, "text"])
 
+    return run
+
+
+def _texts(docs: DataFrame) -> tuple[DataFrame, str]:
+    frames.arrow_batches(docs.sparkSession, 4000, "8m")
+    return docs.select("doc_id", frames.text_bytes().alias("bytes")), docs.schema["doc_id"].dataType.simpleString()
+
+
+def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """A row for each text: doc_id, n_tokens, and ids (little-endian unsigned 32-bit)."""
+    rows, kind = _texts(docs)
+    return rows.mapInArrow(_encode(tokenizer), f"doc_id {kind}, n_tokens long, ids binary")
+
+
+def decode(coded: DataFrame, tokenizer: str) -> DataFrame:
+    """The rows of encode() with the decoded ``text``."""
+    frames.arrow_batches(coded.sparkSession, 4000, "8m")
     coded = coded.select("doc_id", "n_tokens", "ids")
     kind = coded.schema["doc_id"].dataType.simpleString()
-    return coded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, text string")
+    return coded.mapInArrow(_decode(tokenizer), f"doc_id {kind}, n_tokens long, ids binary, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the text decoded from them."""
-    return decode(encode(docs, tokenizer), tokenizer).withColumn("n_tokens", F.col("n_tokens").cast("long"))
+    """decode(encode(docs)) in one pass: doc_id, n_tokens, ids and the text decoded from them."""
+    rows, kind = _texts(docs)
+    first, second = _encode(tokenizer), _decode(tokenizer)
+    return rows.mapInArrow(lambda batches: second(first(batches)), f"doc_id {kind}, n_tokens long, ids binary, text string")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from corpusmill.llm import vectext
 
 #: A worker forgets its chunks when it has seen so many distinct ones, or so many bytes of them.
-REMEMBERED, REMEMBERED_BYTES = 500_000, 16 << 20
+REMEMBERED, REMEMBERED_BYTES = 250_000, 8 << 20
 BLOCK = 2 << 20
 _SPACE = ~vectext.NOT_SPACE
 _GRAPH = vectext.lookup_table(lambda b: 0x21 <= b <= 0x7E)
