@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import frames, tokens, vectext
-from corpusmill.llm.bpe import TokenBytes
+from corpusmill.llm.bpe import TokenBytes, token_bytes
 
 #: Bytes of text that share a list of pairs.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 _GROUP = re.compile(rb"[nab]*c")
 _LABELS = np.frombuffer(b"nabc", dtype=np.uint8)
 _SPACE = np.arange(256) == 0x20
@@ -56,13 +56,25 @@ class Pieces:
         named = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in named):
             raise ValueError("pieces that hold a space after other characters cannot be told apart by chunks")
-        self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(named)]
+        self.bytes = TokenBytes([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(named)])
         self.space = self.model.piece_to_id("▁")
 
-    def encode(self, chunks: list[str]) -> list[list[int]]:
-        """Ids of chunks that begin with a space, which the model adds itself."""
-        got = self.model.encode([c[1:] for c in chunks], num_threads=1)
-        return [[self.space] if c == " " else ids for c, ids in zip(chunks, got, strict=True)]
+    def ids_of(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, joined, and the number of each; chunks begin with a space, which the model adds itself."""
+        got = self.model.encode([c[1:].decode("utf-8", "replace") for c in new], num_threads=1)
+        got = [ids if len(c) > 1 else [self.space] for c, ids in zip(new, got, strict=True)]
+        n = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+        return np.fromiter((x for ids in got for x in ids), dtype=np.int64, count=int(n.sum())), n
+
+
+def spells(table: TokenBytes, ids: np.ndarray, n: np.ndarray, raw: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the tokens of each chunk, n by n, have the bytes of that chunk, size by size."""
+    end = np.cumsum(np.append(0, table.size[ids]))[np.cumsum(n)]
+    same = np.diff(end, prepend=0) == size
+    told, asked = table.join(ids[np.repeat(same, n)]), raw[np.repeat(same, size)]
+    wrong = np.cumsum(np.append(0, told != asked))[np.cumsum(size[same])]
+    same[same] = np.diff(wrong, prepend=0) == 0
+    return same
 
 
 def links(labels: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,8 +89,8 @@ class Aligner(tokens.Memory):
 
     def __init__(self, a: str, b: str):
         self.a, self.b = tokens.Encoder(a, plain=True), Pieces(b)
-        self.a_bytes = TokenBytes(a)
-        self.n_b = len(self.b.bytes)
+        self.a_bytes, self.b_bytes = token_bytes(a), self.b.bytes
+        self.n_b = len(self.b_bytes.size) - 1
         super().__init__()
 
     def clear(self) -> None:
@@ -87,45 +99,33 @@ class Aligner(tokens.Memory):
         self.pairs, self.ends, self.printed = tokens.Grown(np.int64), tokens.Grown(np.int64, (0,)), []
 
     def learn(self, new: list[bytes]) -> None:
-        flat, n = self.a.ids_of(new)
-        a_of = np.split(flat.astype(np.int64), np.cumsum(n)[:-1])
-        b_of = self.b.encode([c.decode("utf-8", "replace") for c in new])
-        piece = self.b.bytes
-        good = [b"".join([piece[i] for i in b]) == c == self.a_bytes.join(a) for c, a, b in zip(new, a_of, b_of, strict=True)]
-        which = [i for i, ok in enumerate(good) if ok]
-        table = {c: np.zeros(len(new), dtype=np.int64) for c in _COLUMNS}
-        table["n_a"][[i for i, ok in enumerate(good) if not ok]] = -1
-        printed, pairs, ends = [""] * len(new), np.zeros(0, dtype=np.int64), np.zeros(len(new), dtype=np.int64)
-        if which:
-            a_ids = np.concatenate([a_of[i] for i in which])
-            b_ids = np.fromiter((x for i in which for x in b_of[i]), dtype=np.int64)
-            bound = np.cumsum([len(new[i]) for i in which])
-            kind = np.zeros(int(bound[-1]), dtype=np.int64)
-            kind[np.cumsum(self.a_bytes.size[a_ids]) - 1] |= 1
-            kind[np.cumsum(np.fromiter((len(piece[i]) for i in b_ids.tolist()), dtype=np.int64, count=len(b_ids))) - 1] |= 2
-            labels = _LABELS[kind]
-            stop = np.array([m.end() for m in _GROUP.finditer(labels.tobytes())])  # groups; each chunk ends with one
-            after_a, after_b = np.cumsum(kind & 1)[stop - 1].tolist(), np.cumsum(kind >> 1)[stop - 1].tolist()
-            said, a_said, b_said = [], list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-            a0 = b0 = 0
-            for a1, b1 in zip(after_a, after_b, strict=True):
-                said.append(",".join(a_said[a0:a1]) + "|" + ",".join(b_said[b0:b1]))
-                a0, b0 = a1, b1
-            group_end = np.searchsorted(stop, bound, side="right")
-            for i, g0, g1 in zip(which, [0, *group_end[:-1].tolist()], group_end.tolist(), strict=True):
-                printed[i] = ";".join(said[g0:g1])
-            at, left, right = links(labels, a_ids, b_ids)
-            pairs = left * self.n_b + right
-            table["n_groups"][which] = np.diff(np.append(0, group_end))
-            table["n_links"][which] = np.diff(np.append(0, np.searchsorted(at, bound)))
-            table["n_a"][which] = [len(a_of[i]) for i in which]
-            table["n_b"][which] = [len(b_of[i]) for i in which]
-        ends[:] = self.pairs.n + np.cumsum(table["n_links"])
+        size = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+        raw = np.frombuffer(b"".join(new), dtype=np.uint8)
+        (a_ids, n_a), (b_ids, n_b) = self.a.ids_of(new), self.b.ids_of(new)
+        good = spells(self.a_bytes, a_ids, n_a, raw, size) & spells(self.b_bytes, b_ids, n_b, raw, size)
+        a_ids, b_ids, bound = a_ids[np.repeat(good, n_a)].astype(np.int64), b_ids[np.repeat(good, n_b)], np.cumsum(size[good])
+        kind = np.zeros(int(bound[-1]) if len(bound) else 0, dtype=np.int64)
+        kind[np.cumsum(self.a_bytes.size[a_ids]) - 1] |= 1
+        kind[np.cumsum(self.b_bytes.size[b_ids]) - 1] |= 2
+        labels = _LABELS[kind]
+        stop = np.array([m.end() for m in _GROUP.finditer(labels.tobytes())], dtype=np.int64)  # groups; each chunk ends with one
+        a_said, b_said = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
+        said, a0, b0 = [], 0, 0
+        for a1, b1 in zip(np.cumsum(kind & 1)[stop - 1].tolist(), np.cumsum(kind >> 1)[stop - 1].tolist(), strict=True):
+            said.append(f"{a_said[a0]}|{b_said[b0]}" if a1 - a0 == b1 - b0 == 1 else ",".join(a_said[a0:a1]) + "|" + ",".join(b_said[b0:b1]))
+            a0, b0 = a1, b1
+        at, left, right = links(labels, a_ids, b_ids)
+        group_end = np.searchsorted(stop, bound, side="right")
+        table = {"n_a": np.where(good, n_a, -1), "n_b": np.where(good, n_b, 0)}
+        for c, ends in (("n_groups", group_end), ("n_links", np.searchsorted(at, bound))):
+            table[c] = np.zeros(len(new), dtype=np.int64)
+            table[c][good] = np.diff(ends, prepend=0)
+        printed = iter(zip(np.append(0, group_end[:-1]).tolist(), group_end.tolist(), strict=True)) if len(bound) else iter(())
+        self.printed += [";".join(said[slice(*next(printed))]) if ok else "" for ok in good.tolist()]
+        self.ends.add(self.pairs.n + np.cumsum(table["n_links"]))
+        self.pairs.add(left * self.n_b + right)
         for c in _COLUMNS:
             self.counts[c].add(table[c])
-        self.pairs.add(pairs)
-        self.ends.add(ends)
-        self.printed += printed
 
 
 def _opened(a: str, b: str) -> Aligner:
@@ -186,12 +186,12 @@ def _weigh(texts: pa.Table, found: pa.Table) -> pa.Table:
 
 def align(docs: DataFrame, a: str, b: str) -> DataFrame:
     """A row for each text: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    frames.arrow_batches(docs.sparkSession, 8000, "16m")
+    frames.arrow_batches(docs.sparkSession, 4000, "8m")
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = "".join(f", {c} long" for c in _COLUMNS)
     made = frames.cut(docs.select("doc_id", frames.text_bytes().alias("bytes")).mapInArrow(_align(a, b), f"doc_id {kind}{counts}, groups_sha256 string, block long, links binary, pairs array<long>, often array<long>"))
     lists = made.where(F.col("pairs").isNotNull())
-    n_b = Pieces(b).model.get_piece_size()
+    n_b = len(Pieces(b).bytes.size) - 1
     counted = frames.cut(lists.select(F.explode(F.arrays_zip("pairs", "often")).alias("x")).groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.often").alias("n")))
     highest = counted.groupBy((F.col("pair") % n_b).alias("b")).agg(F.max("n").alias("most"))  # a row for each B id at most
     known = counted.withColumn("b", F.col("pair") % n_b).join(F.broadcast(highest), "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
