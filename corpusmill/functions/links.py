@@ -13,12 +13,29 @@ REPOSITORIES = [("github.com", "github"), ("gitlab.com", "gitlab"), ("bitbucket.
 GITHUB_RESERVED = ["topics", "features", "marketplace", "collections", "search", "orgs", "apps", "pricing"]
 HUGGINGFACE_RESERVED = ["api", "docs", "datasets", "spaces", "models", "papers", "blog", "pricing", "settings"]
 # Hosts of papers and publishers, which are no artifacts of a generic kind.
-BIBLIOGRAPHIC = """
-    arxiv.org doi.org dx.doi.org openalex.org semanticscholar.org api.semanticscholar.org crossref.org ncbi.nlm.nih.gov
-    pubmed.ncbi.nlm.nih.gov aclanthology.org openreview.net api.openreview.net api2.openreview.net portal.acm.org dl.acm.org acm.org
-    springerlink.com link.springer.com ieeexplore.ieee.org proceedings.neurips.cc papers.nips.cc proceedings.mlr.press
-    openaccess.thecvf.com w3.org
-""".split()
+BIBLIOGRAPHIC = [
+    "arxiv.org", "doi.org", "dx.doi.org", "openalex.org", "semanticscholar.org", "api.semanticscholar.org",
+    "crossref.org", "ncbi.nlm.nih.gov", "pubmed.ncbi.nlm.nih.gov", "aclanthology.org", "openreview.net",
+    "api.openreview.net", "api2.openreview.net", "portal.acm.org", "dl.acm.org", "acm.org", "springerlink.com",
+    "link.springer.com", "ieeexplore.ieee.org", "proceedings.neurips.cc", "papers.nips.cc", "proceedings.mlr.press",
+    "openaccess.thecvf.com", "w3.org",
+]
+# What a trusted observation of a link needs. Types that their provider vouches for; fields that a generic
+# link may come from; hosts that are never artifacts; hosts of papers, publishers and resolvers.
+TRUST_POLICY = "artifact_trusted_links_policy_v1"
+TRUSTED_TYPES = [
+    "github_repository", "gitlab_repository", "bitbucket_repository", "codeberg_repository", "huggingface_model",
+    "huggingface_dataset", "huggingface_space", "figshare_artifact", "zenodo_artifact", "youtube_video", "kaggle_dataset",
+]
+TRUSTED_FIELDS = ["comment", "code_links", "dataset_links", "model_links", "repo_url"]
+NOISE_HOSTS = ["w3.org"]
+RESOLVER_HOSTS = [
+    "arxiv.org", "doi.org", "dx.doi.org", "openalex.org", "semanticscholar.org", "api.semanticscholar.org",
+    "crossref.org", "ncbi.nlm.nih.gov", "pubmed.ncbi.nlm.nih.gov", "aclanthology.org", "openreview.net",
+    "api.openreview.net", "api2.openreview.net", "portal.acm.org", "dl.acm.org", "acm.org", "springerlink.com",
+    "link.springer.com", "ieeexplore.ieee.org", "proceedings.neurips.cc", "papers.nips.cc", "proceedings.mlr.press",
+    "openaccess.thecvf.com", "hdl.handle.net", "nbn-resolving.de", "imstat.org",
+]
 
 
 def classify_url(url: Column, relation: Column | None = None) -> Column:
@@ -82,6 +99,17 @@ def trusted(kind: Column, confidence: Column, field: Column, host: Column, types
     return F.coalesce((kind.isin(types) & (confidence >= 0.65)) | generic, F.lit(False))
 
 
+def trusted_observation(types: list[str] = TRUSTED_TYPES, fields: list[str] = TRUSTED_FIELDS) -> Column:
+    """Whether an observation row stands for a link: canonical_id, artifact_id, artifact_type, provider, relation_type, source_field, confidence, normalized_url."""
+    host = text.url_host(F.col("normalized_url"))
+    sure = F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    known = given("canonical_id") & given("artifact_id") & ~F.col("relation_type").eqNullSafe("unknown") & ~F.coalesce(text.in_domain(host, NOISE_HOSTS), F.lit(False))
+    generic = (F.col("provider") == "generic") & (sure >= 0.9) & F.col("source_field").isin(fields) & ~F.coalesce(text.in_domain(host, RESOLVER_HOSTS), F.lit(False))
+    kind = F.coalesce(F.col("artifact_type").isin(types), F.lit(False))
+    return F.coalesce(known & F.when(kind, sure >= 0.65).otherwise(generic), F.lit(False))
+
+
 def reference_type(value: Column, explicit: Column | None = None) -> Column:
     """The explicit type by alias, else by the value's form."""
     v = F.lower(F.trim(value))
