@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +65,7 @@ class Pieces:
         got = self.model.encode([c[1:].decode("utf-8", "replace") for c in new], num_threads=1)
         got = [ids if len(c) > 1 else [self.space] for c, ids in zip(new, got, strict=True)]
         n = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        return np.fromiter((x for ids in got for x in ids), dtype=np.int64, count=int(n.sum())), n
+        return np.fromiter(chain.from_iterable(got), dtype=np.int64, count=int(n.sum())), n
 
 
 def spells(table: TokenBytes, ids: np.ndarray, n: np.ndarray, raw: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -92,12 +93,18 @@ class Aligner(tokens.Memory):
         self.a_bytes, self.b_bytes = token_bytes(a), self.b.bytes
         self.n_b = len(self.b_bytes.size) - 1
         super().__init__()
-
-    def clear(self) -> None:
-        super().clear()
         self.counts = {c: tokens.Grown(np.int64) for c in _COLUMNS}
         self.pairs, self.ends, self.printed = tokens.Grown(np.int64), tokens.Grown(np.int64, (0,)), []
 
+    def size(self) -> tuple:
+        return len(self.printed), self.pairs.n, self.ends.n
+
+    def cut(self, size: tuple) -> None:
+        n, self.pairs.n, self.ends.n = size
+        del self.printed[n:]
+        for c in _COLUMNS:
+            self.counts[c].n = n
+
     def learn(self, new: list[bytes]) -> None:
         size = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
         raw = np.frombuffer(b"".join(new), dtype=np.uint8)

@@ -9,13 +9,15 @@ their bytes; each distinct one is encoded once and remembered by a worker.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 
 from corpusmill.llm import vectext
 
-#: A worker forgets its chunks when it has seen so many distinct ones, or so many bytes of them.
-REMEMBERED, REMEMBERED_BYTES = 250_000, 8 << 20
+#: A worker remembers the first distinct chunks it meets, up to so many and so many bytes; others for one block.
+REMEMBERED, REMEMBERED_BYTES = 800_000, 16 << 20
 BLOCK = 2 << 20
 _SPACE = ~vectext.NOT_SPACE
 _GRAPH = vectext.lookup_table(lambda b: 0x21 <= b <= 0x7E)
@@ -69,28 +71,39 @@ def runs(start: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 class Memory:
-    """Numbers distinct chunks in the order they are met; ``learn`` computes what is kept of each new one."""
+    """Numbers distinct chunks in the order they are met; ``learn`` computes what is kept of each new one, ``size`` and ``cut`` tell how much is kept and drop what came later."""
 
     def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.weight = 0
+        self.passing: tuple[list[bytes], tuple] | None = None
 
     def learn(self, new: list[bytes]) -> None:
         raise NotImplementedError
 
+    def size(self) -> tuple:
+        raise NotImplementedError
+
+    def cut(self, size: tuple) -> None:
+        raise NotImplementedError
+
     def numbers(self, distinct: list[bytes]) -> np.ndarray:
-        if len(self.known) > REMEMBERED or self.weight > REMEMBERED_BYTES:
-            self.clear()
         known = self.known
+        if self.passing:
+            for c in self.passing[0]:
+                del known[c]
+            self.cut(self.passing[1])
+            self.passing = None
         new = [c for c in distinct if c not in known]
         if new:
+            more = sum(map(len, new))
+            if len(known) + len(new) > REMEMBERED or self.weight + more > REMEMBERED_BYTES:
+                self.passing = new, self.size()
+            else:
+                self.weight += more
             self.learn(new)
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.weight += sum(map(len, new))
-        return np.fromiter((known[c] for c in distinct), dtype=np.int64, count=len(distinct))
+        return np.fromiter(map(known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
 
 
 class Encoder(Memory):
@@ -107,16 +120,19 @@ class Encoder(Memory):
         if plain:
             self.tokenizer.encode_special_tokens = True
         super().__init__()
-
-    def clear(self) -> None:
-        super().clear()
         self.ids, self.ends = Grown(np.uint32), Grown(np.int64, (0,))
 
+    def size(self) -> tuple:
+        return self.ids.n, self.ends.n
+
+    def cut(self, size: tuple) -> None:
+        self.ids.n, self.ends.n = size
+
     def ids_of(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks, joined, and the number of each."""
         got = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)]
         n = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        return np.fromiter((x for g in got for x in g), dtype=np.uint32, count=int(n.sum())), n
+        return np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=int(n.sum())), n
 
     def learn(self, new: list[bytes]) -> None:
         flat, n = self.ids_of(new)

@@ -103,12 +103,13 @@ def test_chunks_that_differ_are_never_taken_for_one_another(spark):
 
 
 def test_a_worker_that_forgets_gives_the_same_ids(monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    monkeypatch.setattr(tokens, "REMEMBERED", 60)
     encoder = tokens.Encoder(BYTE)
-    for _ in range(4):
-        made = [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 4) for _ in range(30)) for _ in range(5)]
+    for _ in range(9):
+        made = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(30)) for _ in range(5)]
         ids, n = encoder.encode(vectext.Block([t.encode() for t in made], 0))
         assert ids.tolist() == [x for t in made for x in encoder.tokenizer.encode(t, add_special_tokens=False).ids] and len(n) == 5
+    assert encoder.passing and len(encoder.known) > 60
 
 
 def brute_align(rows):
