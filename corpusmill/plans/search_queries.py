@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusmill import storage
 from corpusmill.functions import scores, text
+from corpusmill.operators import lexical_index, names
 from corpusmill.operators import retrieval as r
 from corpusmill.operators import tables as ops
 from corpusmill.plans.registry import Tables, query
@@ -47,6 +48,17 @@ def k1_k2_bm25(t: Tables):
     return _lexical(t).select("query_id", "doc_id", "score", "rank")
 
 
+@query(f"{_BM25} select * from lex")
+def k1_k2_index_search(t: Tables):
+    """The same ranks from a kept index of two segments, the second appended."""
+    path, docs = storage.new_path(t.documents.sparkSession, "lexical"), t.documents
+    middle = docs.agg(F.expr("percentile_approx(doc_id, 0.5)").alias("m")).first().m
+    lexical_index.append(docs.where(F.col("doc_id") <= middle), path, "doc_id", "text", 0)
+    lexical_index.append(docs.where(F.col("doc_id") > middle), path, "doc_id", "text", 1)
+    queries = t.benchmark.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return lexical_index.search(docs.sparkSession, path, queries, 20, key="doc_id").select("query_id", "doc_id", "score", "rank")
+
+
 @query(f"with {_KNN} select * from den")
 def k4_g6_exact_knn(t: Tables):
     return _dense(t).select("query_id", "doc_id", "score", "rank")
@@ -222,18 +234,5 @@ def n1_n3_literal_spans(t: Tables):
 
 @query(None)
 def d12_fuzzy_join(t: Tables):
-    """Sequence-match ratio of names within the same size; no SQL function has this ratio."""
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        def one(x: str, y: str) -> float:
-            m = SequenceMatcher(None, x, y)
-            return round(m.ratio() if m.quick_ratio() > 0.799 else 0.0, 6)  # quick_ratio, by character counts, is never less
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
-
-    names = t.part.select("p_partkey", "p_name", "p_size", F.length("p_name").alias("len"))
-    pairs = names.alias("a").join(names.alias("b"), (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")) & (2 * F.least("a.len", "b.len") > 0.799 * (F.col("a.len") + F.col("b.len"))))
-    return pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), ratio("a.p_name", "b.p_name").alias("ratio")).where("ratio >= 0.8")
+    """Names within the same size by sequence-match ratio; no SQL function has this ratio."""
+    return names.pairs_of_rows(t.part, "p_partkey", "p_name", 0.8, ["p_size"])

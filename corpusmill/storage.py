@@ -6,14 +6,27 @@ import atexit
 import contextlib
 import os
 import re
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, SparkSession] = {}
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package, wherever they start: Spark's file server hands them a copy."""
+    sc, package = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(sc, f"_has_{package.name}", False) or not package.is_dir():
+        return
+    d = tempfile.mkdtemp(prefix=f"{package.name}-")  # the driver serves the file from here as long as it runs
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(os.path.join(d, package.name), "zip", package.parent, package.name))
+    setattr(sc, f"_has_{package.name}", True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder where it is unset and all tasks run in this process, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
