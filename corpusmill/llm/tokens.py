@@ -48,7 +48,9 @@ def chunks(block: vectext.Block, space: np.ndarray = _SPACE) -> tuple[list[bytes
     between = np.zeros(len(buf), dtype=bool)
     between[block.end] = True
     own = ~between[edge]
-    return pieces.dictionary.to_pylist(), pieces.indices.to_numpy()[own], np.searchsorted(block.start, edge[own], side="right") - 1
+    _, ends, data = pieces.dictionary.buffers()
+    at, raw = np.frombuffer(ends, dtype=np.int64, count=len(pieces.dictionary) + 1).tolist(), data.to_pybytes() if data else b""
+    return [raw[a:z] for a, z in zip(at, at[1:], strict=False)], pieces.indices.to_numpy()[own], np.searchsorted(block.start, edge[own], side="right") - 1
 
 
 class Grown:
