@@ -17,8 +17,8 @@ LICENSE_SOURCES = {"openalex": 100, "crossref": 90, "semantic_scholar": 70, "arx
 SERIES = ["lecture notes in", "springer series", "advances in intelligent systems", "communications in computer and information science"]
 # Source families by the names they go by.
 FAMILIES = {"arxiv": ["arxiv", "arxiv_kaggle_snapshot"], "acl_anthology": ["acl", "acl_anthology"], "openalex": ["openalex", "openalex_alignment"], "semantic_scholar": ["semantic_scholar", "semantic_scholar_alignment", "s2"], "crossref": ["crossref", "crossref_alignment"], "paperswithcode": ["paperswithcode", "paperswithcode_alignment", "pwc"]}
-# Hosts of code, and conferences by their names in upper case where they are written otherwise.
-CODE_HOSTS = ["github.com", "gitlab.com", "bitbucket.org", "codeberg.org", "huggingface.co"]
+# What a link to code has in it, and conferences by their names in upper case where they are written otherwise.
+CODE_WORDS = ["github.com", "gitlab.com", "bitbucket.org", "codeberg.org", "huggingface.co", "project", "implementation", "source-code", "source_code", "code", "software"]
 CONFERENCES = {"NIPS": "NeurIPS", "NEURIPS": "NeurIPS", "THEWEBCONF": "TheWebConf", "INTERSPEECH": "Interspeech"}
 CONFERENCE_NAMES = "NIPS NEURIPS ICLR ICML CVPR ICCV ECCV AAAI IJCAI ACL EMNLP NAACL EACL COLING KDD WWW THEWEBCONF SIGIR UAI AISTATS INTERSPEECH ACMMM MM WACV".split()
 
@@ -34,8 +34,7 @@ def license_label(c: Column) -> Column:
     for part, name in LICENSE_URLS:
         out = out.when(t.contains(f"creativecommons.org/{part}"), name)
     out = out.when(t.contains("elsevier.com/tdm") | t.contains("springer.com/tdm") | t.contains("springernature.com"), "publisher-tdm-policy")
-    out = out.when(t.contains("ieeexplore.ieee.org") & t.contains("license"), "publisher-license-page")
-    return out.when(t.contains("acm.org/publications/policies/copyright-policy") | t.contains("acm.org/publications/policies/copyright_policy"), "publisher-copyright-policy").otherwise(t)
+    return out.when(t.contains("ieeexplore.ieee.org") & t.contains("license"), "publisher-license-page").otherwise(t)
 
 
 def license_rank(label: Column, source: Column) -> Column:
@@ -134,9 +133,9 @@ def source_families(names: Column, id_keys: Column, tags: Column) -> Column:
 
 
 def code_links(*texts: Column) -> Column:
-    """Distinct URLs of hosts of code, in order of the texts."""
+    """Distinct URLs that name a host of code or speak of code, in order of the texts."""
     urls = F.concat(*[F.coalesce(text.extract_urls(t), F.array().cast("array<string>")) for t in texts])
-    return F.array_distinct(F.filter(urls, lambda u: F.exists(F.array(*[F.lit(h) for h in CODE_HOSTS]), lambda h: F.contains(F.lower(u), h))))
+    return F.array_distinct(F.filter(urls, lambda u: F.exists(F.array(*[F.lit(h) for h in CODE_WORDS]), lambda h: F.contains(F.lower(u), h))))
 
 
 def conference_hint(comment: Column) -> Column:

@@ -97,7 +97,7 @@ def map_lookup(m: Column, key: str) -> Column:
 def extract_urls(c: Column) -> Column:
     """http(s) and www. URLs of a text without trailing punctuation, in order."""
     found = F.regexp_extract_all(c, F.lit(r"((?:https?://|www\.)[^\s<>\"')\]]+)"), F.lit(1))
-    trimmed = F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?]+$", ""))
+    trimmed = F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?)\]}>'\"”’»]+$", ""))
     return F.transform(trimmed, lambda u: F.when(u.startswith("www."), F.concat(F.lit("https://"), u)).otherwise(u))
 
 

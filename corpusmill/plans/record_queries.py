@@ -29,6 +29,7 @@ _LICENSES = [
     ("MIT License", "mit-license"),
     ("  ", None),
     (None, None),
+    ("https://www.acm.org/publications/policies/copyright_policy#x", "https://www.acm.org/publications/policies/copyright-policy#x"),
     ("https://creativecommons.org/publicdomain/zero/1.0/", "cc0"),
 ]
 
@@ -79,10 +80,10 @@ def b15_strings_in(t: Tables):
     return t.events.select("event_id", F.array_join(records.strings_in(json), "|").alias("strings"))
 
 
-@query("""select p_partkey, case p_partkey % 3 when 0 then 'https://github.com/o/r' || p_partkey || ',https://gitlab.com/x' when 1 then '' else 'https://huggingface.co/m' end as links, case p_partkey % 4 when 0 then 'NeurIPS' when 1 then 'ICML' when 2 then 'TheWebConf' end as conference from part""")
+@query("""select p_partkey, case p_partkey % 3 when 0 then 'https://github.com/o/r' || p_partkey || ',https://gitlab.com/x' when 1 then 'https://example.org/Project-' || p_partkey else 'https://huggingface.co/m' end as links, case p_partkey % 4 when 0 then 'NeurIPS' when 1 then 'ICML' when 2 then 'TheWebConf' end as conference from part""")
 def b20_code_links(t: Tables):
     p = F.col("p_partkey").cast("string")
-    said = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Code: https://github.com/o/r"), p, F.lit(", see https://gitlab.com/x and https://github.com/o/r"), p, F.lit("."))).when(F.col("p_partkey") % 3 == 1, "https://example.org/paper").otherwise("www.example.org https://huggingface.co/m!")
+    said = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Code: https://github.com/o/r"), p, F.lit(", see https://gitlab.com/x and https://github.com/o/r"), p, F.lit("."))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("https://example.org/paper https://example.org/Project-"), p, F.lit("}”"))).otherwise("www.example.org https://huggingface.co/m!")
     return t.part.select("p_partkey", F.array_join(records.code_links(said, F.lit(None).cast("string")), ",").alias("links"), records.conference_hint(_pick("p_partkey", ["Accepted at NIPS 2016", "to appear: icml'20", "TheWebConf 2021, WWW", "12 pages"])).alias("conference"))
 
 

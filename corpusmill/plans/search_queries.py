@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import storage
 from corpusmill.functions import scores, text
-from corpusmill.operators import lexical_index, names
+from corpusmill.operators import kmeans, lexical_index, names
 from corpusmill.operators import retrieval as r
 from corpusmill.operators import tables as ops
 from corpusmill.plans.registry import Tables, query
@@ -116,12 +116,9 @@ def k6_ann(t: Tables):
 
 @query(None)
 def k12_kmeans(t: Tables):
-    """Cluster labels differ between runs of other engines; rows only."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = t.embeddings.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return KMeans(k=10, seed=42, maxIter=10).fit(rows).transform(rows).select("vec_id", F.col("prediction").alias("cluster"))
+    """Mini-batch k-means; other engines draw other starts, so rows only."""
+    centres = kmeans.fit(t.embeddings, "vec_id", "embedding", 10)
+    return kmeans.assign(t.embeddings, "vec_id", "embedding", centres).select("vec_id", F.col("centre").alias("cluster"))
 
 
 @query(None)

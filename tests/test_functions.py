@@ -120,3 +120,8 @@ def test_change_stream(spark, tmp_path):
         changes.run_once(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     got = sorted((r.key, r.change) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(1, "new"), (1, "unchanged"), (2, "new"), (2, "updated"), (3, "new")]
+
+
+def test_urls_lose_what_closes_them(spark):
+    said = "(see https://a.org/x) “https://b.org/y}” «www.c.org/z»’ https://d.org/q?a=1;"
+    assert spark.range(1).select(text.extract_urls(F.lit(said)).alias("u")).first().u == ["https://a.org/x", "https://b.org/y", "https://www.c.org/z", "https://d.org/q?a=1"]
