@@ -88,6 +88,8 @@ def links(labels: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[np.
 class Aligner(tokens.Memory):
     """What is kept of a chunk: numbers of tokens, groups and links (-1 tokens: the bytes differ), the pairs, the groups as printed."""
 
+    most = 250_000
+
     def __init__(self, a: str, b: str):
         self.a, self.b = tokens.Encoder(a, plain=True), Pieces(b)
         self.a_bytes, self.b_bytes = token_bytes(a), self.b.bytes

@@ -75,6 +75,8 @@ def runs(start: np.ndarray, lens: np.ndarray) -> np.ndarray:
 class Memory:
     """Numbers distinct chunks in the order they are met; ``learn`` computes what is kept of each new one, ``size`` and ``cut`` tell how much is kept and drop what came later."""
 
+    most = 1 << 40  # of what is heavier than token ids, fewer are remembered
+
     def __init__(self):
         self.known: dict[bytes, int] = {}
         self.weight = 0
@@ -99,7 +101,7 @@ class Memory:
         new = [c for c in distinct if c not in known]
         if new:
             more = sum(map(len, new))
-            if len(known) + len(new) > REMEMBERED or self.weight + more > REMEMBERED_BYTES:
+            if len(known) + len(new) > min(self.most, REMEMBERED) or self.weight + more > REMEMBERED_BYTES:
                 self.passing = new, self.size()
             else:
                 self.weight += more
