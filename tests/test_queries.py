@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from corpusmill.plans import audit_queries, canonical_queries, contract_queries, document_queries, evaluation_queries, graph_queries, more_queries, record_queries, registry, search_queries, table_queries, text_queries  # noqa: F401
+from corpusmill.plans import audit_queries, canonical_queries, contract_queries, document_queries, evaluation_queries, graph_queries, more_queries, overlap_queries, record_queries, registry, search_queries, table_queries, text_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
