@@ -186,30 +186,6 @@ def b35_phrase_labels(t: Tables):
     return t.part.select("p_partkey", records.phrase_label(said, {"llms": "Large Language Models"}, ["based", "method"]).alias("label"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in phrases.PHRASE_STOPWORDS)
-_TERM_STOP = ", ".join(f"'{w}'" for w in phrases.TERM_STOPWORDS)
-
-
-@query(f"""with w as (select source as cluster, list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9\\-]{{2,}}'), lambda x: x not in ({_STOP})) as p, list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9\\-]{{2,}}'), lambda x: x not in ({_TERM_STOP})) as t from documents where text is not null),
-g as (select cluster, 2 as n, p[i] || ' ' || p[i + 1] as phrase from (select cluster, p, unnest(range(1, len(p))) as i from w) where p[i] <> p[i + 1]
-union all select cluster, 3, p[i] || ' ' || p[i + 1] || ' ' || p[i + 2] from (select cluster, p, unnest(range(1, len(p) - 1)) as i from w) where not (p[i] = p[i + 1] and p[i] = p[i + 2])
-union all select cluster, 1, unnest(t) from w),
-c as (select cluster, n, phrase, count(*) as c from g where n = 1 or (not regexp_matches(phrase, 'http|github|available|xmlns|mathml|mml math|extensive experiment|experimental result') and phrase not in ('rather than', 'recent years', 'state art')) group by 1, 2, 3),
-r as (select *, row_number() over (partition by cluster, n order by c desc, phrase) as i from c qualify i <= 20),
-k as (select *, row_number() over (partition by cluster, n order by c desc, phrase) as j from r where length(phrase) >= 4 and not regexp_matches(phrase, 'http|github|available|xmlns|mathml|mml math') and phrase not in ('mathematics', 'statistics', 'engineering', 'biology', 'physics', 'philosophy', 'linguistics', 'storytelling'))
-select cluster, phrase, cast(case n when 1 then round_even(0.5 * c, 0) when 2 then round_even(10.0 * c, 0) + case when c >= 3 then round_even(3.5 * c, 0) else 0 end else round_even(14.0 * c, 0) + case when c >= 3 then round_even(5.0 * c, 0) else 0 end end as bigint) as score, cast(case n when 1 then round_even(0.5 * c, 0) when 2 then 11 * c else 14 * c end as bigint) as last_resort from k where c >= case n when 1 then 3 else 2 end and (n > 1 or j <= 15)""")
-def k17_topic_candidates(t: Tables):
-    """Sources as clusters; each text stands for title and body alike."""
-    docs = t.documents.select(F.col("source").alias("cluster"), F.col("text").alias("title"), F.col("text").alias("body"))
-    return labels.topic_candidates(docs, "cluster", "title", "body").where("score is not null")
-
-
-@query()
-def k18_topic_labels(t: Tables):
-    docs = t.documents.select(F.col("source").alias("cluster"), F.col("text").alias("title"), F.col("text").alias("body"), F.array("lang").alias("keywords"))
-    return labels.topic_labels(labels.topic_candidates(docs, "cluster", "title", "body"), "cluster")
-
-
 # Fixed cases: a term; what it is rewritten to; whether it is no label; its points; its family.
 _TERMS = [
     ("Large  Language LLMs", "large language models", False, 74, "large_language_models"),
