@@ -43,12 +43,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import filters, frames, vectext
-from corpusmill.llm.vectext import U64, mix, signed
+from corpusmill.llm.vectext import U64, mix, signed, unmix
 
 END, START = np.uint64(0xE0D), np.uint64(0x57A7)  # the hashes that stand for the end of a text and for what is before it
 DISCOUNT = 0.75
-#: Text whose counts a task gathers before it sends them on.
-SEGMENT = 24 << 20
+#: Text whose tokens a task gathers before it counts them.
+SEGMENT = 12 << 20
+#: Keys whose counts a task holds, over all its text; with more it sends them on.
+MOST_KEYS = 1 << 21
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -78,23 +80,43 @@ def _streams(batches: Iterator[pa.RecordBatch], training: bool):
             yield batch, block, h, row, held, n + 1
 
 
+def _summed(key: np.ndarray, ctx: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, in ascending order, with its context and the sum of its counts."""
+    if not len(key):
+        return key, ctx, n
+    o = np.argsort(key, kind="stable")
+    key = key[o]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], ctx[o[first]], np.add.reduceat(n[o], first)
+
+
 def _counted(parts: Iterator[tuple[np.ndarray, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
-    """Counts of keys, each with its context, a segment at a time."""
+    """Counts of keys, each with its context: a key once for all text of a task, unless it meets more than MOST_KEYS; by context, as rows that share one pack well."""
+    fresh, size, held = [], 0, None
 
-    def out(held):
-        key, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
+    def counted():
+        key, ctx = (np.concatenate(x) for x in zip(*fresh, strict=True))
+        fresh.clear()
         key, first, n = np.unique(key, return_index=True, return_counts=True)
-        yield from _rows(key, ctx[first], n)
+        new = key, ctx[first], n
+        return new if held is None else _summed(*(np.concatenate(x) for x in zip(held, new, strict=True)))
+
+    def out(key, ctx, n):
+        o = np.argsort(ctx, kind="stable")
+        return _rows(key[o], ctx[o], n[o])
 
-    held, size = [], 0
     for key, ctx, n in parts:
-        held.append((key, ctx))
+        fresh.append((key, ctx))
         size += n
         if size >= SEGMENT:
-            yield from out(held)
-            held, size = [], 0
-    if held:
-        yield from out(held)
+            held, size = counted(), 0
+            if len(held[0]) > MOST_KEYS:
+                yield from out(*held)
+                held = None
+    if fresh:
+        held = counted()
+    if held is not None:
+        yield from out(*held)
 
 
 def _rows(key: np.ndarray, ctx: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -125,31 +147,35 @@ def _walk(h: np.ndarray, row: np.ndarray, at: np.ndarray, levels: list[filters.F
 
 
 def _entries(held):
-    """(k, ctx, n): counts of the last level's contexts with next symbols; and with n = 0 what turns a context's keys into those of its suffix."""
+    """(k, ctx, n): counts of the last level's contexts with next symbols.
+
+    What follows a context entry times follows its suffix as often, so a key goes out only if its suffix's key is an entry of the level above.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, levels = held.value
-        turned: list = []
+        symbols, levels, above = held.value
 
         def parts():
             for _, block, h, row, _, _ in _streams(batches, True):
                 for d, _, ctx, key, old in _walk(h, row, symbols.find(_part(h, 1)), levels):
                     if d == len(levels):
-                        one, first = np.unique(ctx, return_index=True)
-                        turned.append((one, _part(old[first], d + 1)))
+                        if above is not None:
+                            hit = above.find(key ^ _part(old, d + 1))
+                            ctx, key = ctx[hit], key[hit]
                         yield key, ctx, len(block.buf)
 
-        for batch in _counted(parts()):
-            yield batch
-            if turned:
-                ctx, turn = (np.concatenate(x) for x in zip(*turned, strict=True))
-                turned.clear()
-                ctx, first = np.unique(ctx, return_index=True)
-                yield from _rows(turn[first], ctx, np.zeros(len(ctx)))
+        yield from _counted(parts())
 
     return run
 
 
+def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ctx, total, turn) of contexts: what turns a context's keys into those of its suffix, its oldest word one place further from the end."""
+    for batch in batches:
+        old = batch.column("old").to_numpy(zero_copy_only=False).view(U64)
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("n"), pa.array(signed(mix(unmix(old) + U64(_STEP))))], ["ctx", "total", "turn"])
+
+
 def _score(held, ids: list[str]):
     rare = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
     cold = pa.list_(pa.struct([("k", pa.int64()), ("ctx", pa.int64())]))
@@ -213,15 +239,14 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 
 
 def _level(found: DataFrame, contexts: DataFrame, many: int, prior: DataFrame, prior_rows: int, gain: float) -> tuple[DataFrame, DataFrame]:
-    """Retained contexts (ctx, n, back) and the level's entries (k, n, lift, lp), from counts of candidate contexts.
+    """Retained contexts (ctx, n, back) and the level's entries (k, n, lift, lp, turn), from counts of candidate contexts.
 
-    lp is the log probability of an entry under the longest retained suffix up to this level, lift what this level adds to it, null in a context that isn't retained.
+    old is what a context's oldest word adds to its hash, turn what it adds to the keys; lp is the log probability of an entry under the longest retained suffix up to this level, lift what this level adds to it, null in a context that isn't retained.
     """
-    turn = found.where("n = 0").select("ctx", F.col("k").alias("turn"))
-    known = frames.cut(contexts.select(F.col("k").alias("ctx"), F.col("n").alias("total")).join(turn, "ctx"))
-    each = found.where("n > 0").join(_small(known, many), "ctx").withColumn("pk", F.col("k").bitwiseXOR(F.col("turn")))
+    known = frames.cut(contexts.select("k", "n", "old").mapInArrow(_turns, "ctx long, total long, turn long"))
+    each = found.join(_small(known, many), "ctx").withColumn("pk", F.col("k").bitwiseXOR(F.col("turn")))
     each = each.join(_small(prior.select(F.col("k").alias("pk"), F.col("lp").alias("up")), prior_rows), "pk")
-    each = frames.cut(each.select("k", "ctx", "n", "total", "up"))
+    each = frames.cut(each.select("k", "ctx", "n", "total", "up", "turn"))
     frames.release(found)
     each_rows = each
     each = each.withColumn("share", (F.col("n") - DISCOUNT) / F.col("total"))
@@ -233,7 +258,7 @@ def _level(found: DataFrame, contexts: DataFrame, many: int, prior: DataFrame, p
     kept = _small(told.select("ctx", F.lit(True).alias("kept")), many)
     each = each.join(kept, "ctx", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     lift = (F.col("own") - F.col("up")) / F.lit(np.log(10.0).item())
-    entries = frames.cut(each.select("k", "n", F.when(F.col("kept"), lift).alias("lift"), F.when(F.col("kept"), F.col("own")).otherwise(F.col("up")).alias("lp")))
+    entries = frames.cut(each.select("k", "n", F.when(F.col("kept"), lift).alias("lift"), F.when(F.col("kept"), F.col("own")).otherwise(F.col("up")).alias("lp"), "turn"))
     frames.release(each_rows)
     frames.release(known)
     return told, entries
@@ -254,18 +279,21 @@ def score(docs: DataFrame, depth: int = 4, least: int = 512, entry: int = 8, gai
     start, end = (int(signed(_part(np.array([x]), 1))[0]) for x in (START, END))
     symbols = frames.cut(counts.where(F.col("n") >= least))
     many = symbols.count()
-    contexts = symbols.withColumn("k", F.when(F.col("k") == end, F.lit(start)).otherwise(F.col("k")))  # a text has one end, and one start
+    contexts = symbols.withColumn("k", F.when(F.col("k") == end, F.lit(start)).otherwise(F.col("k"))).withColumn("old", F.col("k"))  # a text has one end, and one start
     prior, prior_rows = symbols.withColumn("lp", F.log((F.col("n") + 1.0) / size)), many
+    above = None  # the first level's keys are of words in ``symbols``
     sound = filters.build(symbols.select("k"), many)
     levels, backs, lifts = [], [], []
     for d in range(1, depth + 1):
         if d > 1:
-            contexts = prior.where(F.col("n") >= least).select("k", "n")
+            contexts = prior.where(F.col("n") >= least).select("k", "n", F.col("turn").alias("old"))
             many = contexts.count()
         if not many:
             break
+        if d > 1:
+            above = filters.build(prior.select("k"), prior_rows)
         levels.append(filters.build(contexts.select("k"), many))
-        found = frames.cut(src.mapInArrow(_entries(send((sound, levels))), shape).groupBy("k", "ctx").agg(F.sum("n").alias("n")).where(f"n = 0 or n >= {entry}"))
+        found = frames.cut(src.mapInArrow(_entries(send((sound, levels, above))), shape).groupBy("k", "ctx").agg(F.sum("n").alias("n")).where(F.col("n") >= entry))
         told, prior = _level(found, contexts, many, prior, prior_rows, gain)
         prior_rows = prior.count()
         backs.append(told)

@@ -62,6 +62,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """What mix() made the values from."""
+    x = x ^ (x >> U64(31)) ^ (x >> U64(62))
+    x = x * U64(pow(0x94D049BB133111EB, -1, 1 << 64))
+    x = x ^ (x >> U64(27)) ^ (x >> U64(54))
+    x = x * U64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return x ^ (x >> U64(30)) ^ (x >> U64(60))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

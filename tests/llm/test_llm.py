@@ -6,9 +6,12 @@ import re
 import time
 import zlib
 from collections import Counter
+from functools import reduce
 from math import log, log10
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusmill.llm import decontam, filters, frames, lsh_forest, merkle, pii, pst, quality, rans, ring, ss_packing, suffix_dedup, tokens, vectext
@@ -218,6 +221,34 @@ def test_language_model_learns_contexts(spark):
     assert got and all(r.score > 0.5 * r.base_score for r in got)
 
 
+def test_language_model_counts_keys_once(monkeypatch):
+    monkeypatch.setattr(pst, "SEGMENT", 1)
+    key = np.array([5, 3, 9, 5, 3, 7], dtype=np.uint64)
+    ctx = np.array([2, 1, 1, 2, 1, 2], dtype=np.uint64)
+    sent = lambda: [tuple(r.values()) for b in pst._counted(iter([(key[:2], ctx[:2], 9), (key[:0], ctx[:0], 9), (key[2:4], ctx[2:4], 9), (key[4:], ctx[4:], 9)])) for r in b.to_pylist()]
+    assert sent() == [(3, 1, 2), (9, 1, 1), (5, 2, 2), (7, 2, 1)]  # once for all segments, by context
+    monkeypatch.setattr(pst, "MOST_KEYS", 1)
+    got = Counter()
+    for k, c, n in sent():
+        got[k, c] += n
+    assert got == {(3, 1): 2, (9, 1): 1, (5, 2): 2, (7, 2): 1}
+
+
+def test_language_model_sends_what_can_be_an_entry():
+    texts = ["a b c", "a b d", "x b c"]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 2, 3]), pa.array([x.encode() for x in texts])], ["doc_id", "bytes"])
+    every = [h for _, _, h, _, _, _ in pst._streams([batch], True)][0]
+    a, b, c, _, _, _, d = every[:7]
+    part = lambda *w: reduce(np.bitwise_xor, (pst._part(np.array([x]), i) for i, x in enumerate(reversed(w), 1)))
+    levels = [filters.Filter.of(part(b)), filters.Filter.of(part(a, b))]
+    held = SimpleNamespace(value=(filters.Filter.of(np.concatenate([part(w) for w in np.unique(every)])), levels, filters.Filter.of(part(b, c))))
+    rows = [r for x in pst._entries(held)([batch]) for r in x.to_pylist()]
+    assert d != c and [(r["k"], r["ctx"], r["n"]) for r in rows] == [(pst.signed(part(a, b, c))[0], pst.signed(part(a, b))[0], 1)]
+    old = pa.RecordBatch.from_arrays([pa.array(pst.signed(x)) for x in (part(a, b), np.ones(1, dtype=np.uint64), part(a, b) ^ part(b))], ["k", "n", "old"])
+    turn = next(pst._turns([old])).to_pylist()[0]
+    assert turn == {"ctx": pst.signed(part(a, b))[0], "total": 1, "turn": pst.signed(part(a, b, c) ^ part(b, c))[0]}
+
+
 def brute_components(rows, k, percent=80):
     sets = {}
     for d, t in rows:
