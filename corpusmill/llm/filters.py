@@ -17,11 +17,32 @@ EXACT_KEYS = 2_000_000
 SLICE = 1 << 20
 
 
+class Places:
+    """Where hashes stand among sorted keys: a hash's leading bits name the first key that can be it."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.heads = keys, None
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash that is a key; for others any place."""
+        keys, bits = self.keys, len(self.keys).bit_length()
+        if self.heads is None:  # not on the driver, so it is not sent
+            self.heads = np.searchsorted(keys, np.arange(1 << bits, dtype=U64) << U64(64 - bits))
+        last = len(keys) - 1
+        at = np.minimum(self.heads[h >> U64(64 - bits)], last)
+        late = np.flatnonzero(keys[at] < h)
+        while len(late):
+            at[late] += 1
+            late = late[at[late] <= last]
+            late = late[keys[at[late]] < h[late]]
+        return np.minimum(at, last)
+
+
 class Filter:
     """Which hashes are of interest."""
 
     def __init__(self, words: np.ndarray, keys: np.ndarray | None = None):
-        self.words, self.keys = words, keys
+        self.words, self.keys, self.places = words, keys, None if keys is None else Places(keys)
         self.mask = U64(64 * len(words) - 1)
 
     @classmethod
@@ -47,7 +68,7 @@ class Filter:
         if not len(self.keys):
             return np.zeros(0, dtype=np.int64)
         hit = self.near(h)
-        return hit[self.keys[np.minimum(np.searchsorted(self.keys, h[hit]), len(self.keys) - 1)] == h[hit]]
+        return hit[self.keys[self.places(h[hit])] == h[hit]]
 
 
 class Table:
@@ -56,14 +77,14 @@ class Table:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         o = np.argsort(keys.view(U64))
         self.keys, self.values = keys.view(U64)[o], values[o]
-        self.filter = Filter(Filter.of(self.keys).words)
+        self.filter, self.places = Filter(Filter.of(self.keys).words), Places(self.keys)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the hashes that have a value, and the values."""
         if not len(self.keys):
             return np.zeros(0, dtype=np.int64), self.values
         hit = self.filter.near(h)
-        at = np.minimum(np.searchsorted(self.keys, h[hit]), len(self.keys) - 1)
+        at = self.places(h[hit])
         ok = self.keys[at] == h[hit]
         return hit[ok], self.values[at[ok]]
 

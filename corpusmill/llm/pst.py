@@ -84,7 +84,7 @@ def _summed(key: np.ndarray, ctx: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
     """Each key once, in ascending order, with its context and the sum of its counts."""
     if not len(key):
         return key, ctx, n
-    o = np.argsort(key, kind="stable")
+    o = vectext.order(key)
     key = key[o]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     return key[first], ctx[o[first]], np.add.reduceat(n[o], first)
@@ -97,12 +97,11 @@ def _counted(parts: Iterator[tuple[np.ndarray, np.ndarray, int]]) -> Iterator[pa
     def counted():
         key, ctx = (np.concatenate(x) for x in zip(*fresh, strict=True))
         fresh.clear()
-        key, first, n = np.unique(key, return_index=True, return_counts=True)
-        new = key, ctx[first], n
+        new = _summed(key, ctx, np.ones(len(key), dtype=np.int64))
         return new if held is None else _summed(*(np.concatenate(x) for x in zip(held, new, strict=True)))
 
     def out(key, ctx, n):
-        o = np.argsort(ctx, kind="stable")
+        o = vectext.order(ctx)
         return _rows(key[o], ctx[o], n[o])
 
     for key, ctx, n in parts:

@@ -23,6 +23,8 @@ _PLACES: list[np.ndarray] = []
 
 #: Bytes of text handled at a time; larger documents form a block of their own.
 BLOCK_BYTES = 1 << 20
+#: Bytes whose hash terms are computed at a time.
+PIECE = 1 << 15
 
 
 def byte_table(seed: int) -> np.ndarray:
@@ -104,6 +106,10 @@ class Block:
         return len(self.start)
 
 
+def lowered(block: Block) -> np.ndarray:
+    return np.frombuffer(block.buf.tobytes().translate(LOWER.tobytes()), dtype=np.uint8)
+
+
 def blocks(column: pa.Array, sep: bytes = b"\n", limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """Consecutive rows of a binary column; null counts as empty."""
     held: list[bytes] = []
@@ -125,8 +131,8 @@ class Words:
     __slots__ = ("doc", "end", "hash", "hi", "lo", "start")
 
     def __init__(self, block: Block, is_word: np.ndarray = NOT_SPACE, seed: int = 1, buf: np.ndarray | None = None):
-        low = LOWER[block.buf] if buf is None else buf
-        mask = is_word[low]
+        low = lowered(block) if buf is None else buf
+        mask = np.frombuffer(low.tobytes().translate(is_word.tobytes()), dtype=bool)
         edge = np.flatnonzero(mask[1:] != mask[:-1]) + 1
         if len(mask) and mask[0]:
             edge = np.concatenate(([0], edge))
@@ -134,7 +140,9 @@ class Words:
         self.lo = np.searchsorted(self.start, block.start)
         self.hi = np.searchsorted(self.start, block.end)
         self.doc = np.repeat(np.arange(len(block)), self.hi - self.lo)
-        self.hash = mix(range_hash(low, self.start, self.end, seed))
+        gap = int((self.start[1:] - self.end[:-1]).max()) if len(self.start) > 1 else 0
+        far = gap > PIECE or len(self.start) > 0 and len(low) - int(self.end[-1]) > PIECE
+        self.hash = mix(range_hash(low, self.start, self.end, seed) if far else _word_hash(low, self.start, is_word, seed))
 
 
 def range_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
@@ -150,6 +158,33 @@ def range_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -
     return np.add.reduceat(terms, first)
 
 
+def _word_hash(buf: np.ndarray, start: np.ndarray, is_word: np.ndarray, seed: int) -> np.ndarray:
+    """range_hash() of the words that start there: a word goes on to the next one, as the bytes between them add nothing. By pieces that stay in a core's cache."""
+    table = np.where(is_word, byte_table(seed), U64(0))
+    reach = np.diff(start, append=len(buf))
+    own = places(int(reach.max())) if len(start) else None
+    out = np.empty(len(start), dtype=U64)
+    cuts = np.unique(np.searchsorted(start, np.arange(0, len(buf) + PIECE, PIECE)))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        a, z = int(start[lo]), int(start[hi - 1] + reach[hi - 1])
+        pos = np.arange(a, z)
+        pos -= np.repeat(start[lo:hi], reach[lo:hi])
+        terms = table[buf[a:z]]
+        terms *= own[pos]
+        out[lo:hi] = np.add.reduceat(terms, start[lo:hi] - a)
+    return out
+
+
+def order(x: np.ndarray) -> np.ndarray:
+    """What np.argsort() gives, from a sort of the values with their places in the lowest bits, which is much faster; a plain one where these bits decide."""
+    bits = U64(len(x).bit_length())
+    o = x >> bits << bits | np.arange(len(x), dtype=U64)
+    o.sort()
+    o = (o & U64((1 << int(bits)) - 1)).astype(np.int64)
+    y = x[o]
+    return o if (y[1:] >= y[:-1]).all() else np.argsort(x, kind="stable")
+
+
 def grams(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """Hashes of all n consecutive values (len(h)-n+1 of them)."""
     m = len(h) - n + 1
