@@ -112,7 +112,10 @@ def topic_tokens(c: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    return F.transform(F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(words, i, n), " "))
+    """Runs of n words, joined by spaces. The words are bound as a lambda's variable: named in the inner lambda, they'd be computed anew for each place."""
+    places = lambda w: F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    runs = lambda w: F.transform(places(w), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return F.get(F.transform(F.array(words), runs), F.lit(0))
 
 
 def length_class(n: Column) -> Column:

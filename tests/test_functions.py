@@ -125,3 +125,16 @@ def test_change_stream(spark, tmp_path):
 def test_urls_lose_what_closes_them(spark):
     said = "(see https://a.org/x) “https://b.org/y}” «www.c.org/z»’ https://d.org/q?a=1;"
     assert spark.range(1).select(text.extract_urls(F.lit(said)).alias("u")).first().u == ["https://a.org/x", "https://b.org/y", "https://www.c.org/z", "https://d.org/q?a=1"]
+
+
+def test_ngrams_cut_the_words_once(spark, capsys):
+    """A long text's words were cut anew for each place of a run."""
+    df = spark.createDataFrame([(0, None), (1, ""), (2, "one"), (3, "one two"), (4, "the one and two three two"), (5, " ".join(f"w{i:05d}" for i in range(20_000)))], "k int, c string")
+    grams = df.select("k", text.ngrams(text.topic_tokens(F.col("c")), 2).alias("x"))
+    grams.explain()
+    assert capsys.readouterr().out.count("regexp_extract_all") == 1
+    got = {r.k: r.x for r in grams.collect()}
+    assert [got[k] for k in range(5)] == [[], [], [], ["one two"], ["one two", "two three", "three two"]]
+    assert got[5] == [f"w{i:05d} w{i + 1:05d}" for i in range(19_999)]
+    assert one(spark, lambda c: text.ngrams(F.split(c, " "), 3), "a b c d") == ["a b c", "b c d"]
+    assert one(spark, lambda c: text.ngrams(F.split(c, " "), 1), "a b") == ["a", "b"]
